@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermart.functions.columns import fill_defaults, named
@@ -34,53 +34,60 @@ def clean(df: DataFrame) -> DataFrame:
     return fill_defaults(distinct_rows(df))
 
 
-def _duplicate_counts():
-    return [
-        F.coalesce(F.sum(_N), F.lit(0)).alias("rows"),
-        F.count("*").alias("distinct_rows"),
-        F.count_if(F.col(_N) > 1).alias("dup_groups"),
-        F.coalesce(F.sum(F.col(_N) - 1), F.lit(0)).alias("extra_rows"),
-    ]
-
-
-def _long(counts: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
-    cells = [
-        F.struct(F.lit(c).alias("column"), named(c).alias("nulls")) for c in columns
-    ]
-    return counts.select(*ids, F.inline(F.array(*cells)))
+def _copy_counts() -> dict[str, Column]:
+    return {
+        "rows": F.coalesce(F.sum(_N), F.lit(0)),
+        "distinct_rows": F.count("*"),
+        "dup_groups": F.count_if(F.col(_N) > 1),
+        "extra_rows": F.coalesce(F.sum(F.col(_N) - 1), F.lit(0)),
+    }
+
+
+def _null_cells(columns: list[str]) -> Column:
+    """Null counts per column as an array of (column, nulls), for `inline`."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count_if(named(c).isNull()).alias("nulls"),
+            )
+            for c in columns
+        ]
+    )
 
 
 def duplicate_report(df: DataFrame) -> DataFrame:
-    """One row: rows, distinct rows, groups of copies, and copies beyond the first."""
-    return row_groups(df).agg(*_duplicate_counts())
+    """One row: rows, distinct rows, groups of copies, copies beyond the first."""
+    counts = [value.alias(name) for name, value in _copy_counts().items()]
+    return row_groups(df).agg(*counts)
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Nulls per column in one scan without a shuffle of rows."""
-    counts = df.agg(*[F.count_if(named(c).isNull()).alias(c) for c in df.columns])
-    return _long(counts, [], df.columns)
+    """Nulls per column, in one scan that shuffles only counts."""
+    return df.agg(_null_cells(df.columns).alias("cells")).select(F.inline("cells"))
 
 
 def quality_profile(df: DataFrame) -> DataFrame:
-    """Duplicate report and nulls per column of the distinct rows, from a single
-    grouping: one row per column."""
-    nulls = [F.count_if(named(c).isNull()).alias(c) for c in df.columns]
-    counts = row_groups(df).agg(
-        *[c.alias(f"__{i}") for i, c in enumerate(_duplicate_counts())], *nulls
-    )
-    ids = ["rows", "distinct_rows", "dup_groups", "extra_rows"]
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), named(c).alias("nulls")) for c in df.columns]
-    )
-    return counts.select(
-        *[F.col(f"__{i}").alias(name) for i, name in enumerate(ids)], F.inline(cells)
+    """`duplicate_report` with the nulls per column of the distinct rows, all
+    from a single grouping. One row per column."""
+    counts = _copy_counts()
+    profile = row_groups(df).agg(
+        F.struct(*[value.alias(name) for name, value in counts.items()]).alias("copies"),
+        _null_cells(df.columns).alias("cells"),
     )
+    return profile.select("copies.*", F.inline("cells"))
 
 
 def quality_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """`quality_profile` of several tables, one after the other."""
+    """`quality_profile` of several tables, one below the other."""
     parts = [
         quality_profile(df).select(F.lit(name).alias("table"), "*")
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def preview(df: DataFrame, key: list[str], n: int = 5) -> DataFrame:
+    """The first n rows by key: a top-n per partition, merged."""
+    ties = [c for c in df.columns if c not in key]
+    return df.orderBy(*[named(c) for c in key + ties]).limit(n)
