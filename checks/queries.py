@@ -410,16 +410,12 @@ def pk_violations(spark, sf_dir):
     )
 
 
-def _star(spark, sf_dir) -> dict[str, DataFrame]:
-    raw = raw_tables(spark, sf_dir)
-    return {**dimensions(raw), "Orders": fact.order_fact(raw)}
-
-
 def _written_star(spark, sf_dir) -> tuple[str, dict[str, DataFrame]]:
     """A run folder and the star schema in target types, written and read back."""
     root = shared_dir(spark)
+    raw = raw_tables(spark, sf_dir)
     star = {}
-    for name, df in _star(spark, sf_dir).items():
+    for name, df in {**dimensions(raw), "Orders": fact.order_fact(raw)}.items():
         path = f"{root}/{name}"
         constraints.conform(df, TABLES[name]).write.parquet(path)
         star[name] = spark.read.parquet(path)
@@ -428,7 +424,7 @@ def _written_star(spark, sf_dir) -> tuple[str, dict[str, DataFrame]]:
 
 @query
 def fk_violations(spark, sf_dir):
-    star = _star(spark, sf_dir)
+    _, star = _written_star(spark, sf_dir)
     return stacked(
         [
             constraints.fk_violations(df, star[parent], TABLES[name], column, TABLES[parent])

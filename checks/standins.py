@@ -5,13 +5,33 @@ all. `checks/oracle.py` states the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermart.schemas import ORDER_TIMES
 
 
+# The test tables' columns. A stated schema saves a job per read.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _with_copies(df: DataFrame, condition: str) -> DataFrame:
@@ -126,8 +146,26 @@ RAW_TABLES = {
 }
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: build(spark, sf_dir) for name, build in RAW_TABLES.items()}
+class _RawTables(Mapping):
+    """The raw tables by name, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._source, self._built = (spark, sf_dir), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = RAW_TABLES[name](*self._source)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(RAW_TABLES)
+
+    def __len__(self):
+        return len(RAW_TABLES)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    return _RawTables(spark, sf_dir)
 
 
 def mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,15 +29,32 @@ def schema_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
 
 
+_WHOLE = {T.ShortType: 2**15 - 1, T.IntegerType: 2**31 - 1, T.LongType: 2**63 - 1}
+
+
+def _in_range(value: Column, target: T.DataType) -> Column | None:
+    """Does a number fit the target type? None where any number does. A range
+    test costs less than a failing cast."""
+    if type(target) in _WHOLE:
+        top = _WHOLE[type(target)]
+        return value.between(-top - 1, top)
+    if isinstance(target, T.DecimalType):
+        # Below the first value that would round up to one digit too many.
+        return F.abs(value) < 10 ** (target.precision - target.scale) - 0.5 * 10**-target.scale
+    return None
+
+
 def _converted(field: T.StructField, source: T.DataType) -> Column:
     target = storage_type(field.dataType)
     value = named(field.name)
     if source == target:
         return value
-    if isinstance(target, T.TimestampType):
-        if isinstance(source, T.StringType):
-            return parse_timestamp(value, source)
-        return value.cast(target)
+    if isinstance(target, T.TimestampType) and isinstance(source, T.StringType):
+        return parse_timestamp(value, source)
+    if isinstance(source, T.NumericType):
+        fits = _in_range(value, target)
+        if fits is not None:
+            return F.when(fits, value.cast(target))
     return value.try_cast(target)
 
 
@@ -54,29 +71,30 @@ def key_text(columns) -> Column:
 
 
 def _rejects(df: DataFrame, table: Table, tests: list[tuple[str, Column]]) -> DataFrame:
-    """One row per failed cell, out of a single scan."""
-    cells = F.array(
-        *[
-            F.when(
-                failed,
-                F.struct(
-                    F.lit(column).alias("column"),
-                    named(column).cast("string").alias("value"),
-                ),
-            )
-            for column, failed in tests
-        ]
-    )
-    return df.select(
+    """One row per failed cell, out of a single scan. Rows without a failure,
+    mostly all, leave at a plain filter."""
+    cells = [
+        F.when(
+            failed,
+            F.struct(
+                F.lit(column).alias("column"),
+                named(column).cast("string").alias("value"),
+            ),
+        )
+        for column, failed in tests
+    ]
+    any_failed = reduce(Column.__or__, [failed for _, failed in tests], F.lit(False))
+    return df.filter(any_failed).select(
         F.lit(table.name).alias("table"),
         key_text(table.key).alias("key"),
-        F.inline(F.filter(cells, lambda cell: cell.isNotNull())),
+        F.inline(F.array_compact(F.array(*cells))),
     )
 
 
 def type_rejects(df: DataFrame, table: Table) -> DataFrame:
     """Cells that hold a value which the target type cannot."""
-    tests = [
+    tests = [(table.key[0], F.lit(False))]
+    tests += [
         (
             f.name,
             named(f.name).isNotNull()
@@ -85,7 +103,7 @@ def type_rejects(df: DataFrame, table: Table) -> DataFrame:
         for f in table.columns
         if df.schema[f.name].dataType != storage_type(f.dataType)
     ]
-    return _rejects(df, table, tests or [(table.key[0], F.lit(False))])
+    return _rejects(df, table, tests)
 
 
 def length_rejects(df: DataFrame, table: Table) -> DataFrame:

@@ -3,12 +3,32 @@ most of the rows."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on. Colder keys fit in a task; of hot ones
-# there is at most one per HOT_ROWS rows, which bounds what is broadcast.
-HOT_ROWS = 1_000_000
+
+@dataclass(frozen=True)
+class JoinSizes:
+    """From how many rows on a key is hot, and up to how many bytes, by Spark's
+    own estimate, a lookup side is broadcast whole."""
+
+    hot_rows: int = 1_000_000
+    broadcast_bytes: int = 10 * 1024 * 1024
+
+
+DEFAULT_SIZES = JoinSizes()
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's size estimate of a frame from its files' sizes, without a job.
+    None where the session does not offer it."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+    except (AttributeError, NotImplementedError):
+        return None
+    return int(plan.stats().sizeInBytes())
 
 
 def lookup_join(
@@ -16,18 +36,23 @@ def lookup_join(
     lookup: DataFrame,
     key: str,
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    sizes: JoinSizes = DEFAULT_SIZES,
 ) -> DataFrame:
     """`rows` inner or left-semi joined to `lookup`, which has one row per key.
 
-    Rows of hot keys meet a broadcast of just those keys' lookup rows and are
-    not shuffled; all others take an ordinary join. With no hot key the first
-    branch is empty, and adaptive execution drops it before its scan.
+    A lookup side within the size bound is broadcast. Beyond it the rows of hot
+    keys meet a broadcast of just those keys' lookup rows and are not shuffled;
+    of such keys there is at most one per `hot_rows` rows. All other rows take an
+    ordinary join. With no hot key the first branch is empty, and adaptive
+    execution drops it before its scan.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"lookup_join does not do {how} joins")
+    size = estimated_bytes(lookup)
+    if size is not None and size <= sizes.broadcast_bytes:
+        return rows.join(F.broadcast(lookup), key, how)
     counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
-    hot = F.broadcast(counts.filter(F.col("__n") >= hot_rows).select(key))
+    hot = F.broadcast(counts.filter(F.col("__n") >= sizes.hot_rows).select(key))
     hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
     cold_rows = rows.join(hot, key, "left_anti")
     return rows.join(hot_lookup, key, how).unionByName(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ordermart.functions.columns import fill_defaults, has_time, parse_timestamp
 from ordermart.operators.dedup import keep_one
-from ordermart.operators.lookup import HOT_ROWS, lookup_join
+from ordermart.operators.lookup import DEFAULT_SIZES, JoinSizes, lookup_join
 from ordermart.schemas import ORDER_TIMES, TABLES
 
 ZIP = "customer_zip_code_prefix"
@@ -37,31 +37,31 @@ def timed_orders(orders: DataFrame) -> DataFrame:
 
 
 def located_customers(
-    customers: DataFrame, geolocation: DataFrame, hot_rows: int = HOT_ROWS
+    customers: DataFrame, geolocation: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
 ) -> DataFrame:
     """customer_id and zip code of the customers whose zip code is known, one
     row per customer. Of the places only the key matters, so this is a semi-join."""
     zips = fill_defaults(geolocation.select(F.col(GEO_ZIP).alias(ZIP))).distinct()
     filled = fill_defaults(customers.select("customer_id", ZIP))
-    located = lookup_join(filled, zips, ZIP, "left_semi", hot_rows)
+    located = lookup_join(filled, zips, ZIP, "left_semi", sizes)
     return located.groupBy("customer_id").agg(F.min(ZIP).alias("zip_code_prefix"))
 
 
 def sold_items(
-    items: DataFrame, sellers: DataFrame, hot_rows: int = HOT_ROWS
+    items: DataFrame, sellers: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
 ) -> DataFrame:
     """order_id and seller_id of each order's first item with a known seller.
     The seller is checked before the choice: the first item may lack one."""
     known = fill_defaults(sellers.select("seller_id")).distinct()
     filled = fill_defaults(items.select("order_id", "order_item_id", "seller_id"))
-    sold = lookup_join(filled, known, "seller_id", "left_semi", hot_rows)
+    sold = lookup_join(filled, known, "seller_id", "left_semi", sizes)
     return keep_one(sold, ["order_id"], ["order_item_id"]).drop("order_item_id")
 
 
 def order_fact(
     raw: Mapping[str, DataFrame],
     reviews: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    sizes: JoinSizes = DEFAULT_SIZES,
 ) -> DataFrame:
     """One row per order that has all timestamps, a payment, a located customer,
     an item with a known seller, and a review.
@@ -73,9 +73,9 @@ def order_fact(
             "order_id", "customer_id", "order_status", *ORDER_TIMES
         )
     )
-    customers = located_customers(raw["customers"], raw["geolocation"], hot_rows)
+    customers = located_customers(raw["customers"], raw["geolocation"], sizes)
     placed = keep_one(
-        lookup_join(orders, customers, "customer_id", "inner", hot_rows), ["order_id"]
+        lookup_join(orders, customers, "customer_id", "inner", sizes), ["order_id"]
     )
     payments = keep_one(
         fill_defaults(
@@ -90,7 +90,7 @@ def order_fact(
         ["order_id"],
         ["payment_sequential"],
     )
-    items = sold_items(raw["order_items"], raw["sellers"], hot_rows)
+    items = sold_items(raw["order_items"], raw["sellers"], sizes)
     if reviews is None:
         reviews = raw["order_reviews"]
     reviewed = (
@@ -106,14 +106,14 @@ def order_fact(
 
 
 def order_fact_conformed(
-    raw: Mapping[str, DataFrame], order_reviews_dim: DataFrame, hot_rows: int = HOT_ROWS
+    raw: Mapping[str, DataFrame], order_reviews_dim: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
 ) -> DataFrame:
     """The fact with reviews out of the reviews dimension only, so that every
     review_id in it refers to a row there."""
-    return order_fact(raw, order_reviews_dim, hot_rows)
+    return order_fact(raw, order_reviews_dim, sizes)
 
 
-def join_fanout(tables: Mapping[str, DataFrame], hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_fanout(tables: Mapping[str, DataFrame], sizes: JoinSizes = DEFAULT_SIZES) -> DataFrame:
     """How many rows the six-way join of these tables has per order, worked out
     from counts per key without building the rows."""
 
@@ -127,7 +127,7 @@ def join_fanout(tables: Mapping[str, DataFrame], hot_rows: int = HOT_ROWS) -> Da
     places = counted("geolocation", "n_places", GEO_ZIP).withColumnRenamed(GEO_ZIP, ZIP)
     customers = counted("customers", "n_customers", "customer_id", ZIP)
     located = total(
-        lookup_join(customers, places, ZIP, "inner", hot_rows),
+        lookup_join(customers, places, ZIP, "inner", sizes),
         "customer_id", "n_customers", "n_places", "n_located",
     )
     orders = (
@@ -136,13 +136,13 @@ def join_fanout(tables: Mapping[str, DataFrame], hot_rows: int = HOT_ROWS) -> Da
         .agg(F.count("*").alias("n_orders"))
     )
     placed = total(
-        lookup_join(orders, located, "customer_id", "inner", hot_rows),
+        lookup_join(orders, located, "customer_id", "inner", sizes),
         "order_id", "n_orders", "n_located", "n_placed",
     )
     sellers = counted("sellers", "n_sellers", "seller_id")
     items = counted("order_items", "n_items", "order_id", "seller_id")
     sold = total(
-        lookup_join(items, sellers, "seller_id", "inner", hot_rows),
+        lookup_join(items, sellers, "seller_id", "inner", sizes),
         "order_id", "n_items", "n_sellers", "n_sold",
     )
     payments = counted("order_payments", "n_payments", "order_id")

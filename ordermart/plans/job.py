@@ -16,7 +16,7 @@ from ordermart.operators.constraints import (
     pk_violations,
     type_rejects,
 )
-from ordermart.operators.lookup import HOT_ROWS
+from ordermart.operators.lookup import DEFAULT_SIZES, JoinSizes
 from ordermart.operators.quality import quality_report
 from ordermart.plans.dimensions import (
     customer_dim,
@@ -117,7 +117,7 @@ def run_job(
     item_grain: str = "order",
     conformed: bool = False,
     fail_on: tuple[str, ...] = RULES,
-    hot_rows: int = HOT_ROWS,
+    sizes: JoinSizes = DEFAULT_SIZES,
 ) -> JobReport:
     """Build the star schema from raw tables and append what is new to the
     warehouse. Running it again changes nothing.
@@ -133,9 +133,9 @@ def run_job(
         for name, df in dimensions(raw, item_grain).items()
     }
     fact = (
-        order_fact_conformed(raw, staged["Order_Reviews"], hot_rows)
+        order_fact_conformed(raw, staged["Order_Reviews"], sizes)
         if conformed
-        else order_fact(raw, hot_rows=hot_rows)
+        else order_fact(raw, sizes=sizes)
     )
     staged["Orders"] = _written(fact, f"{work}/Orders")
     star = {name: conform(df, TABLES[name]) for name, df in staged.items()}

@@ -13,8 +13,9 @@ from ordermart.sources.files import CSV_OPTIONS, list_objects, read_table
 
 
 def land_csv(df: DataFrame, path: str) -> None:
-    """Write a frame as CSV that `read_table` reads back unchanged. Timestamps go
-    out as `yyyy-MM-dd HH:mm:ss`, with a fraction only where there is one."""
+    """Write a frame as CSV that `read_table` reads back unchanged, but for empty
+    text, which a CSV read takes for null. Timestamps go out as
+    `yyyy-MM-dd HH:mm:ss`, with a fraction only where there is one."""
     times = [
         f.name
         for f in df.schema

@@ -1,0 +1,72 @@
+import pytest
+from conftest import item, order, payment, review, rows
+
+from ordermart.plans.job import RuleViolation, run_job
+from ordermart.schemas import TABLES
+from ordermart.sinks.landing import land_csv, land_files
+from ordermart.sinks.warehouse import ParquetWarehouse
+from ordermart.sources import read_tables
+
+
+def counts(warehouse):
+    return {name: warehouse.read(table).count() for name, table in TABLES.items()}
+
+
+def test_files_to_warehouse_and_again(spark, tmp_path, make_raw):
+    sources = {}
+    for name, df in make_raw().items():
+        sources[name] = str(tmp_path / "in" / f"{name}.csv")
+        land_csv(df, sources[name])
+    land_files(spark, sources, str(tmp_path / "landing"))
+    raw = read_tables(spark, str(tmp_path / "landing"))
+    warehouse = ParquetWarehouse(spark, str(tmp_path / "warehouse"))
+
+    report = run_job(spark, raw, warehouse)
+    assert counts(warehouse) == dict.fromkeys(TABLES, 1)
+    assert report.violations.count() == 0
+    assert rows(report.quality.filter("nulls > 0").select("table", "column")) == [
+        ("order_reviews", "review_comment_title")
+    ]
+    assert rows(report.audit.select("missing", "unexpected").distinct()) == [(0, 0)]
+
+    run_job(spark, raw, warehouse)
+    assert counts(warehouse) == dict.fromkeys(TABLES, 1)
+
+    more = make_raw(
+        orders=[order("o1"), order("o2")],
+        order_items=[item("o1"), item("o2")],
+        order_payments=[payment("o1"), payment("o2")],
+        order_reviews=[review("r1", "o1"), review("r2", "o2")],
+    )
+    run_job(spark, more, warehouse)
+    loaded = counts(warehouse)
+    assert (loaded["Orders"], loaded["Order_Items"], loaded["Customers"]) == (2, 2, 1)
+
+
+def test_broken_rules_stop_the_load(spark, tmp_path, make_raw):
+    raw = make_raw(
+        customers=[("c1", 1000, "x" * 101, "SP"), ("c1", 1, "t", "SP")],
+        order_items=[item("o1", 40000), item("o2", product="p9")],
+    )
+    warehouse = ParquetWarehouse(spark, str(tmp_path / "warehouse"))
+    with pytest.raises(RuleViolation) as stopped:
+        run_job(spark, raw, warehouse)
+    for rule in ("type", "length", "primary key", "foreign key"):
+        assert rule in str(stopped.value)
+    assert counts(warehouse)["Customers"] == 0
+
+    report = run_job(spark, raw, warehouse, fail_on=())
+    found = rows(report.violations.select("rule", "table", "column", "n"))
+    assert ("foreign key", "Order_Items", "product_id", 1) in found
+    assert ("primary key", "Customers", "customer_id", 2) in found
+    assert ("length", "Customers", "customer_city", 1) in found
+    assert ("type", "Order_Items", "order_item_id", 1) in found
+
+
+def test_a_review_outside_the_dimension(spark, tmp_path, make_raw):
+    raw = make_raw(order_reviews=[review("r1", "o1", created="bad")])
+    warehouse = ParquetWarehouse(spark, str(tmp_path / "warehouse"))
+    with pytest.raises(RuleViolation, match="foreign key"):
+        run_job(spark, raw, warehouse)
+    run_job(spark, raw, warehouse, conformed=True)
+    assert counts(warehouse)["Orders"] == 0
