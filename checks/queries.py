@@ -169,7 +169,7 @@ def duplicate_report(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    return quality.quality_report(raw_tables(spark, sf_dir))
+    return quality.quality_report(raw_tables(spark, sf_dir), shared_dir(spark))
 
 
 @query

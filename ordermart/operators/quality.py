@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermart.functions.columns import fill_defaults, named
+from ordermart.operators.lookup import (
+    DEFAULT_SIZES,
+    JoinSizes,
+    estimated_bytes,
+    lookup_join,
+)
 
 _N = "__n"
+_HASH = "__hash"
+
+# From this estimate on a report avoids shuffling whole rows.
+LARGE_BYTES = 1024**3
 
 
 def row_groups(df: DataFrame, count: str = _N) -> DataFrame:
@@ -34,54 +44,95 @@ def clean(df: DataFrame) -> DataFrame:
     return fill_defaults(distinct_rows(df))
 
 
-def _copy_counts() -> dict[str, Column]:
-    return {
-        "rows": F.coalesce(F.sum(_N), F.lit(0)),
-        "distinct_rows": F.count("*"),
-        "dup_groups": F.count_if(F.col(_N) > 1),
-        "extra_rows": F.coalesce(F.sum(F.col(_N) - 1), F.lit(0)),
-    }
-
-
-def _null_cells(columns: list[str]) -> Column:
-    """Null counts per column as an array of (column, nulls), for `inline`."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count_if(named(c).isNull()).alias("nulls"),
-            )
-            for c in columns
-        ]
-    )
-
-
 def duplicate_report(df: DataFrame) -> DataFrame:
     """One row: rows, distinct rows, groups of copies, copies beyond the first."""
-    counts = [value.alias(name) for name, value in _copy_counts().items()]
-    return row_groups(df).agg(*counts)
+    n, zero = F.col(_N), F.lit(0)
+    return row_groups(df).agg(
+        F.coalesce(F.sum(n), zero).alias("rows"),
+        F.count("*").alias("distinct_rows"),
+        F.count_if(n > 1).alias("dup_groups"),
+        F.coalesce(F.sum(n - 1), zero).alias("extra_rows"),
+    )
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Nulls per column, in one scan that shuffles only counts."""
-    return df.agg(_null_cells(df.columns).alias("cells")).select(F.inline("cells"))
-
-
-def quality_profile(df: DataFrame) -> DataFrame:
-    """`duplicate_report` with the nulls per column of the distinct rows, all
-    from a single grouping. One row per column."""
-    counts = _copy_counts()
-    profile = row_groups(df).agg(
-        F.struct(*[value.alias(name) for name, value in counts.items()]).alias("copies"),
-        _null_cells(df.columns).alias("cells"),
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.count_if(named(c).isNull()).alias("nulls"))
+        for c in df.columns
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def hashed_duplicate_rows(
+    df: DataFrame, work: str, sizes: JoinSizes = DEFAULT_SIZES
+) -> DataFrame:
+    """`duplicate_rows` for large tables. Equal rows have equal hashes, so only
+    hashes are shuffled, and only the rows of a repeated one are then compared
+    in full. The repeated hashes are written to `work`."""
+    hashed = df.withColumn(_HASH, F.xxhash64(*[named(c) for c in df.columns]))
+    repeated = hashed.groupBy(_HASH).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1)
+    repeated.select(_HASH).write.mode("overwrite").parquet(work)
+    repeated = df.sparkSession.read.schema(f"{_HASH} bigint").parquet(work)
+    suspects = lookup_join(hashed, repeated, _HASH, "left_semi", sizes)
+    return duplicate_rows(suspects.select(*[named(c) for c in df.columns]), _N)
+
+
+def _measures(df: DataFrame, weight: Column, groups: Column, extra: Column) -> DataFrame:
+    """Sums of `weight` over all rows and over the nulls of each column."""
+    nulls = [F.sum(F.when(named(c).isNull(), weight)) for c in df.columns if c != _N]
+    sums = [F.sum(weight), F.sum(groups), F.sum(extra), *nulls]
+    return df.agg(F.array(*[F.coalesce(v, F.lit(0).cast("bigint")) for v in sums]).alias("m"))
+
+
+def quality_profile(
+    df: DataFrame,
+    work: str | None = None,
+    sizes: JoinSizes = DEFAULT_SIZES,
+    large: int = LARGE_BYTES,
+) -> DataFrame:
+    """`duplicate_report` with the nulls per column of the distinct rows, as one
+    row per column.
+
+    Up to `large` bytes, or without a work folder, whole rows are grouped once.
+    Beyond that all rows are counted in a plain scan, and what the copies add to
+    those counts is taken off again.
+    """
+    size = estimated_bytes(df)
+    n, one, none = F.col(_N), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    if work is None or (size is not None and size <= large):
+        parts = _measures(row_groups(df), one, (n > 1).cast("bigint"), n - 1)
+    else:
+        copies = hashed_duplicate_rows(df, work, sizes)
+        parts = _measures(df, one, none, none).unionAll(
+            _measures(copies, 1 - n, one, n - 1)
+        )
+    total = parts.agg(
+        *[F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(3 + len(df.columns))]
+    )
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("nulls"))
+            for i, c in enumerate(df.columns, start=3)
+        ]
+    )
+    return total.select(
+        (F.col("m0") + F.col("m2")).alias("rows"),
+        F.col("m0").alias("distinct_rows"),
+        F.col("m1").alias("dup_groups"),
+        F.col("m2").alias("extra_rows"),
+        F.inline(cells),
     )
-    return profile.select("copies.*", F.inline("cells"))
 
 
-def quality_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+def quality_report(
+    tables: Mapping[str, DataFrame], work: str | None = None, **options
+) -> DataFrame:
     """`quality_profile` of several tables, one below the other."""
     parts = [
-        quality_profile(df).select(F.lit(name).alias("table"), "*")
+        quality_profile(df, work and f"{work}/{name}", **options).select(
+            F.lit(name).alias("table"), "*"
+        )
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -126,7 +126,8 @@ def run_job(
     after it if a written key is missing from the target.
     """
     work = work or shared_dir(spark)
-    quality = _written(quality_report(raw), f"{work}/quality")
+    report = quality_report(raw, f"{work}/repeated", sizes=sizes)
+    quality = _written(report, f"{work}/quality")
 
     staged = {
         name: _written(df, f"{work}/{name}")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermart.functions.columns import named
 from ordermart.operators.constraints import storage_schema
+from ordermart.operators.lookup import DEFAULT_SIZES, JoinSizes, estimated_bytes
 from ordermart.schemas import TABLES, Table
 
 MONTH = "purchase_month"
@@ -78,12 +80,37 @@ class JdbcWarehouse:
         writer.options(**self.write_options(table)).save()
 
 
-def new_rows(df: DataFrame, existing: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def _by_key(left: DataFrame, right: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+    """A semi or anti join in which null keys equal each other, so that a row
+    without its key is not loaded again either."""
+    left, right = left.alias("l"), right.alias("r")
+    equal = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in key]
+    return left.join(right, reduce(Column.__and__, equal), how)
+
+
+def loaded_keys(
+    df: DataFrame, target: DataFrame, key: tuple[str, ...], sizes: JoinSizes
+) -> DataFrame:
+    """The target's keys that can matter to `df`. For a batch within the size
+    bound its keys are broadcast, and the target, which grows with every load,
+    is scanned for them without a shuffle."""
+    columns = [named(k) for k in key]
+    keys, wanted = target.select(*columns), df.select(*columns)
+    size = estimated_bytes(wanted)
+    if size is not None and size <= sizes.broadcast_bytes:
+        return _by_key(keys, F.broadcast(wanted), key, "left_semi")
+    return keys
+
+
+def new_rows(
+    df: DataFrame,
+    target: DataFrame,
+    key: tuple[str, ...],
+    sizes: JoinSizes = DEFAULT_SIZES,
+) -> DataFrame:
     """The rows whose key is not loaded yet: what a repeated load may append.
-    Of the loaded table only the key columns are read."""
-    return df.join(existing.select(*[named(k) for k in key]), list(key), "left_anti").select(
-        *df.columns
-    )
+    Of the target only the key columns are read."""
+    return _by_key(df, loaded_keys(df, target, key, sizes), key, "left_anti")
 
 
 def load_table(warehouse, table: Table, df: DataFrame) -> None:
@@ -97,20 +124,28 @@ def load_warehouse(warehouse, frames: Mapping[str, DataFrame], order: list[str])
         load_table(warehouse, TABLES[name], frames[name])
 
 
-def key_audit(written: DataFrame, target: DataFrame, table: Table) -> DataFrame:
-    """One row: how many keys were written, are in the target, are missing there
-    and are there without having been written. Keys are netted in one grouping,
-    which counts copies of a key as well."""
+def key_audit(
+    written: DataFrame,
+    target: DataFrame,
+    table: Table,
+    sizes: JoinSizes = DEFAULT_SIZES,
+) -> DataFrame:
+    """One row: rows written, rows the target has of their keys, how many of the
+    written are missing there, and how many the target has too often. Keys are
+    netted in one grouping, which counts copies of a key as well."""
     keys = [named(k) for k in table.key]
+    held = loaded_keys(written, target, table.key, sizes)
     sides = written.select(*keys, F.lit(1).alias("w"), F.lit(0).alias("t")).unionAll(
-        target.select(*keys, F.lit(0).alias("w"), F.lit(1).alias("t"))
+        held.select(*keys, F.lit(0).alias("w"), F.lit(1).alias("t"))
     )
     per_key = sides.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
-    short, over = F.col("w") - F.col("t"), F.col("t") - F.col("w")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    w, t, zero = F.col("w"), F.col("t"), F.lit(0)
+    sums = {
+        "written": w,
+        "in_target": F.when(w > 0, t).otherwise(0),
+        "missing": F.greatest(w - t, zero),
+        "surplus": F.when(w > 0, F.greatest(t - w, zero)).otherwise(0),
+    }
     return per_key.agg(
-        total(F.col("w")).alias("written"),
-        total(F.col("t")).alias("in_target"),
-        total(F.greatest(short, F.lit(0))).alias("missing"),
-        total(F.greatest(over, F.lit(0))).alias("unexpected"),
+        *[F.coalesce(F.sum(value), zero).alias(name) for name, value in sums.items()]
     ).select(F.lit(table.name).alias("table"), "*")

@@ -27,7 +27,7 @@ def test_files_to_warehouse_and_again(spark, tmp_path, make_raw):
     assert rows(report.quality.filter("nulls > 0").select("table", "column")) == [
         ("order_reviews", "review_comment_title")
     ]
-    assert rows(report.audit.select("missing", "unexpected").distinct()) == [(0, 0)]
+    assert rows(report.audit.select("missing", "surplus").distinct()) == [(0, 0)]
 
     run_job(spark, raw, warehouse)
     assert counts(warehouse) == dict.fromkeys(TABLES, 1)

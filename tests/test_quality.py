@@ -1,10 +1,14 @@
+import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from ordermart.operators.lookup import JoinSizes
 from ordermart.operators.quality import (
     clean,
     distinct_rows,
     duplicate_report,
     duplicate_rows,
+    hashed_duplicate_rows,
     null_profile,
     preview,
     quality_profile,
@@ -45,6 +49,23 @@ def test_null_profiles(spark):
     ]
 
 
+@pytest.mark.parametrize("sizes", [JoinSizes(), JoinSizes(hot_rows=2, broadcast_bytes=0)])
+def test_large_tables_give_the_same_profile(spark, tmp_path, sizes):
+    df = sample(spark).withColumns({"m": F.lit(1), "x": F.expr("IF(k = 2, -0.0D, double('NaN'))")})
+    df = df.withColumn("x", F.when(F.col("v").isNull(), 0.0).otherwise(F.col("x")))
+    hashed = hashed_duplicate_rows(df, str(tmp_path / "h"), sizes).drop("m", "x")
+    assert rows(hashed) == [(1, "a", 3), (2, None, 2)]
+    got = rows(quality_profile(df, str(tmp_path / "w"), sizes, large=-1))
+    assert got == rows(quality_profile(df))
+    empty = quality_profile(df.limit(0), str(tmp_path / "e"), sizes, large=-1)
+    assert rows(empty.select("rows", "nulls").distinct()) == [(0, 0)]
+
+
+def test_signed_zeros_are_one_value(spark, tmp_path):
+    df = spark.sql("SELECT * FROM VALUES (0.0D), (-0.0D), (double('NaN')), (-double('NaN')) AS v(x)")
+    assert [n for _, n in rows(hashed_duplicate_rows(df, str(tmp_path / "h")))] == [2, 2]
+
+
 def test_columns_named_like_the_report(spark):
     df = spark.createDataFrame([(1, None), (1, None)], "rows int, `a.b` string")
     assert rows(quality_profile(df)) == [(2, 1, 1, 1, "a.b", 1), (2, 1, 1, 1, "rows", 0)]

@@ -1,6 +1,8 @@
+import pytest
 from conftest import item, order, payment, review, rows
 
 from ordermart.operators.constraints import conform, storage_schema
+from ordermart.operators.lookup import JoinSizes
 from ordermart.plans.dimensions import customer_dim
 from ordermart.schemas import TABLES
 from ordermart.sinks.warehouse import (
@@ -31,21 +33,50 @@ def test_loading_again_appends_only_what_is_new(spark, tmp_path, make_raw):
     assert [r[0] for r in rows(warehouse.read(CUSTOMERS))] == ["a", "b", "c"]
 
 
-def test_new_rows_of_a_composite_key(spark):
-    new = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, n int, v string")
-    old = spark.createDataFrame([("a", 1, "z")], "k string, n int, v string")
-    assert rows(new_rows(new, old, ("k", "n"))) == [("a", 2, "y")]
+SIZES = [JoinSizes(), JoinSizes(broadcast_bytes=0)]
 
 
-def test_audit_counts_keys_both_ways(spark, make_raw):
+def stored(spark, tmp_path, df):
+    path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_new_rows_of_a_composite_key(spark, tmp_path, sizes):
+    schema = "k string, n int, v string"
+    new = stored(spark, tmp_path, spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], schema))
+    old = spark.createDataFrame([("a", 1, "z"), ("b", 2, "z")], schema)
+    assert rows(new_rows(new, old, ("k", "n"), sizes)) == [("a", 2, "y")]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_rows_without_their_key_are_loaded_once(spark, tmp_path, sizes):
+    new = stored(spark, tmp_path, spark.createDataFrame([(None, 1), ("a", 1)], "k string, n int"))
+    assert rows(new_rows(new, new.limit(0), ("k",), sizes)) == [("a", 1), (None, 1)]
+    assert rows(new_rows(new, new, ("k",), sizes)) == []
+
+
+def test_small_batch_leaves_the_target_unshuffled(spark, tmp_path, make_raw):
+    batch = stored(spark, tmp_path, customers(make_raw, "a"))
+    target = stored(spark, tmp_path, customers(make_raw, "a", "b"))
+    plan = new_rows(batch, target, CUSTOMERS.key)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 1 and "customer_city" in plan
+    assert "hashpartitioning" not in plan.split("BuildRight")[0]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_audit_nets_keys(spark, tmp_path, make_raw, sizes):
+    def audit(written, target):
+        written = stored(spark, tmp_path, written)
+        return tuple(key_audit(written, target, CUSTOMERS, sizes).first())
+
     written = customers(make_raw, "a", "b", "c")
     target = customers(make_raw, "b", "c", "d")
-    assert tuple(key_audit(written, target, CUSTOMERS).first()) == ("Customers", 3, 3, 1, 1)
-    assert tuple(key_audit(written, written, CUSTOMERS).first()) == ("Customers", 3, 3, 0, 0)
-    twice = target.unionAll(target)
-    assert tuple(key_audit(target, twice, CUSTOMERS).first()) == ("Customers", 3, 6, 0, 3)
-    nothing = written.limit(0)
-    assert tuple(key_audit(nothing, nothing, CUSTOMERS).first()) == ("Customers", 0, 0, 0, 0)
+    assert audit(written, target) == ("Customers", 3, 2, 1, 0)
+    assert audit(written, written) == ("Customers", 3, 3, 0, 0)
+    assert audit(target, target.unionAll(target)) == ("Customers", 3, 6, 0, 3)
+    assert audit(written.limit(0), target) == ("Customers", 0, 0, 0, 0)
 
 
 def test_fact_is_partitioned_by_month(spark, tmp_path, make_raw):
