@@ -261,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
     )
     audit = " UNION ALL ".join(
         f"SELECT '{name}' AS \"table\", count(*) AS written, count(*) AS in_target, "
-        f"0 AS missing, 0 AS surplus FROM d_{name}"
+        f"CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS surplus FROM d_{name}"
         for name in _ALL
     )
     return {

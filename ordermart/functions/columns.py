@@ -63,9 +63,12 @@ def null_flags(df: DataFrame) -> DataFrame:
 
 
 def parse_timestamp(value: Column, dtype: T.DataType = T.StringType()) -> Column:
-    """Text to timestamp, null where the text is not one. Timestamps pass through."""
+    """Text to timestamp, null where the text is not one. Timestamps pass through,
+    dates become midnight."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return value
+    if isinstance(dtype, T.DateType):
+        return value.cast("timestamp")
     return F.try_to_timestamp(value.cast("string"), F.lit(TIMESTAMP_FORMAT))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordermart.functions.columns import named, parse_timestamp
-from ordermart.schemas import Table
+from ordermart.schemas import TABLES, Table
 
 
 def storage_type(dtype: T.DataType) -> T.DataType:
@@ -125,22 +126,37 @@ def pk_violations(df: DataFrame, table: Table) -> DataFrame:
     )
 
 
+def _keys(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Key values in long form, (column, key), null ones left out."""
+    cells = [
+        F.struct(F.lit(column).alias("column"), named(source).cast("string").alias("key"))
+        for column, source in columns.items()
+    ]
+    return df.select(F.inline(F.array(*cells))).filter(F.col("key").isNotNull())
+
+
 def fk_violations(
-    child: DataFrame, parent: DataFrame, table: Table, column: str, parent_table: Table
+    child: DataFrame, table: Table, parents: Mapping[str, DataFrame]
 ) -> DataFrame:
-    """Foreign key values without a parent row, with how many rows hold them.
-    Null is exempt. The child is counted per key before the join, so that a key
-    with many rows weighs as much as any other."""
+    """Foreign key values without a parent row, with how many rows hold them, for
+    all references of a table in one scan of it. Null is exempt. The child is
+    counted per key before the join, so that a key with many rows weighs as much
+    as any other. `parents` holds frames by table name."""
     used = (
-        child.filter(named(column).isNotNull())
-        .groupBy(named(column).alias("__fk"))
+        _keys(child, {c: c for c in table.references})
+        .groupBy("column", "key")
         .agg(F.count("*").alias("n"))
     )
-    known = parent.select(named(parent_table.key[0]).alias("__fk")).distinct()
-    return used.join(known, "__fk", "left_anti").select(
+    known = [
+        _keys(parents[parent], {column: TABLES[parent].key[0]})
+        for column, parent in table.references.items()
+    ]
+    known = reduce(DataFrame.unionAll, known).distinct()
+    parent_of = F.create_map(*[F.lit(v) for ref in table.references.items() for v in ref])
+    return used.join(known, ["column", "key"], "left_anti").select(
         F.lit(table.name).alias("table"),
-        F.lit(column).alias("column"),
-        F.lit(parent_table.name).alias("parent"),
-        F.col("__fk").cast("string").alias("key"),
+        "column",
+        parent_of[F.col("column")].alias("parent"),
+        "key",
         "n",
     )

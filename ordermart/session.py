@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -49,16 +50,20 @@ def build_session(
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="ordermart-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir for one run's written tables.
 
-    Every executor must see it, so a machine-local fallback is taken only for a
-    local master.
+    Every executor must see it, so a machine-local folder stands in for an unset
+    one only where the master is local.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="ordermart-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_dir()
     return f"{root.rstrip('/')}/ordermart-{uuid.uuid4().hex}"

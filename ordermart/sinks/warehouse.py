@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordermart.functions.columns import named
 from ordermart.operators.constraints import storage_schema
@@ -66,7 +67,12 @@ class JdbcWarehouse:
         return self.spark.read.format("jdbc").options(**options).load()
 
     def write_options(self, table: Table) -> dict[str, str]:
-        types = [f"{f.name} {f.dataType.simpleString()}" for f in table.columns]
+        # Long text is left to the database's own type for it.
+        types = [
+            f"{f.name} {f.dataType.simpleString()}"
+            for f in table.columns
+            if not isinstance(f.dataType, T.StringType)
+        ]
         return {
             **self.options,
             "dbtable": table.name,

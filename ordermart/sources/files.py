@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,23 +29,31 @@ def read_table(
     infer: bool = False,
     multiline: bool = False,
 ) -> DataFrame:
-    """A CSV table with a header row.
+    """A CSV table with a header row, its columns found by their header names.
 
-    With `infer` Spark reads the data twice to find the types; without a schema
-    every column is text. `multiline` allows line breaks inside quotes, at the
-    price of one task per file, so it belongs to tables with free text only.
+    `schema` types the columns it knows, in whatever order the file has them; any
+    other is text. A file whose header differs from the first one's raises. With
+    `infer` Spark reads the data twice to find the types. `multiline` allows line
+    breaks inside quotes, at the price of one task per file, so it belongs to
+    tables with free text only.
     """
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline)
+
+    def reader(**options) -> DataFrameReader:
+        return spark.read.options(**CSV_OPTIONS, multiLine=multiline, **options)
+
     if infer:
-        reader = reader.option("inferSchema", True)
-    elif schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+        return reader(inferSchema=True).csv(path)
+    text = reader().csv(path)
+    if schema is None:
+        return text
+    types = {f.name: f.dataType for f in schema}
+    in_file = [T.StructField(c, types.get(c, T.StringType())) for c in text.columns]
+    return reader(enforceSchema=False).schema(T.StructType(in_file)).csv(path)
 
 
 def list_objects(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFrame:
     """Every file below `root` with that suffix: path, length, modificationTime.
-    The listing runs on the executors and reads no content."""
+    No content is read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

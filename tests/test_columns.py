@@ -80,6 +80,12 @@ def test_sentinel_in_any_zone(spark, settings, zone, dtype):
         assert zero.filter(has_time(F.col("t"), kind)).count() == 0
 
 
+def test_dates_become_midnight(spark):
+    df = spark.sql("SELECT DATE'2018-01-02' AS t")
+    parsed = df.select(parse_timestamp(F.col("t"), df.schema["t"].dataType)).first()[0]
+    assert parsed == datetime.datetime(2018, 1, 2)
+
+
 def test_timestamps_pass_through_parsing(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2018-01-02 03:04:05.6' AS t")
     assert df.select(parse_timestamp(F.col("t"), df.schema["t"].dataType)).first()[0].microsecond

@@ -40,8 +40,10 @@ def test_only_complete_orders(make_raw, sizes):
     assert rows(join_fanout(raw, sizes)) == [("o1", 1)]
 
 
-def test_the_row(make_raw):
-    row = order_fact(make_raw()).first().asDict()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_the_row(make_raw, settings, ansi):
+    with settings(spark__sql__ansi__enabled=ansi):
+        row = order_fact(make_raw()).first().asDict()
     assert row == {
         "order_id": "o1",
         "customer_id": "c1",

@@ -1,7 +1,8 @@
 import json
 
 import pytest
-from conftest import rows
+from conftest import DAY, rows
+from pyspark.sql import types as T
 
 from ordermart.schemas import RAW
 from ordermart.session import build_session, object_store_conf, shared_dir
@@ -26,6 +27,29 @@ def test_quoted_line_breaks_commas_and_quotes(spark, tmp_path):
     assert read_table(spark, str(path), RAW["order_reviews"]).count() == 3  # split in two
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "customers.csv"
+    path.write_bytes(
+        b"\xef\xbb\xbfcustomer_id,customer_unique_id,customer_state,customer_zip_code_prefix,"
+        b"customer_city\r\nc1,u1,SP,01000,town\r\n"
+    )
+    got = read_table(spark, str(path), RAW["customers"])
+    assert got.dtypes == [
+        ("customer_id", "string"), ("customer_unique_id", "string"), ("customer_state", "string"),
+        ("customer_zip_code_prefix", "int"), ("customer_city", "string"),
+    ]
+    assert rows(got) == [("c1", "u1", "SP", 1000, "town")]
+
+
+def test_files_with_different_headers_raise(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("a,b\n1,2\n")
+    (folder / "part-1.csv").write_text("b,a\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        read_table(spark, str(folder), T.StructType().add("a", "integer").add("b", "integer")).collect()
+
+
 def test_inference_and_no_schema(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a,b,c\n1,x,2018-01-01 00:00:00\n2,y,2018-01-01 10:00:00\n")
@@ -72,6 +96,17 @@ def test_landing_and_reading_back(spark, tmp_path, make_raw):
         assert rows(spark.read.parquet(typed[name])) == rows(df)
 
 
+def test_fact_from_inferred_types(spark, tmp_path, make_raw):
+    from ordermart.plans.fact import order_fact
+
+    for name, df in make_raw().items():
+        land_csv(df, str(tmp_path / f"{name}.csv"))
+    raw = read_tables(spark, str(tmp_path), infer=True)
+    assert dict(raw["order_reviews"].dtypes)["review_creation_date"] == "timestamp"
+    row = order_fact(raw).first()
+    assert (row.order_id, row.zip_code_prefix, row.order_approved_at) == ("o1", 1000, DAY)
+
+
 def test_nothing_landed(spark, tmp_path):
     (tmp_path / "x.txt").write_text("1")
     assert not has_landed(spark, str(tmp_path))
@@ -100,6 +135,19 @@ def test_shared_dir_is_new_each_time_and_below_the_named_folder(spark):
     assert a != b and a.startswith(root) and b.startswith(root)
 
 
+class Unset:
+    """A session without a shared folder."""
+
+    def __init__(self, master):
+        self.conf = {"spark.master": master}
+
+
+def test_only_a_local_master_goes_without_a_shared_folder():
+    assert shared_dir(Unset("local[2]")) != shared_dir(Unset("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Unset("yarn"))
+
+
 def test_object_store_keys_come_from_the_environment():
     keys = {"AWS_ACCESS_KEY_ID": "id", "AWS_SECRET_ACCESS_KEY": "secret"}
     conf = object_store_conf(keys, package="org.example:connector:1")

@@ -129,6 +129,8 @@ def test_jdbc_append_options(spark):
     assert options["batchsize"] == "500" and options["numPartitions"] == "4"
     assert "order_id varchar(255)" in options["createTableColumnTypes"]
     assert "payment_value decimal(10,2)" in options["createTableColumnTypes"]
+    reviews = warehouse.write_options(TABLES["Order_Reviews"])["createTableColumnTypes"]
+    assert "review_score float" in reviews and "review_comment_message" not in reviews
 
 
 def test_tables_are_loaded_in_the_given_order(make_raw):
