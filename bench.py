@@ -70,11 +70,9 @@ def main() -> None:
     }
     if os.environ.get("BENCH_LONG_WAY"):
         result["long_way"] = {
-            "order_fact_any_row": round(
-                seconds(lambda s, d: order_fact_any_row(raw_tables(s, d))), 3
-            ),
-            "order_fact_after_joins": round(
-                seconds(lambda s, d: order_fact_after_joins(raw_tables(s, d))), 3
+            "order_fact_any_row": best(lambda s, d: order_fact_any_row(raw_tables(s, d))),
+            "order_fact_after_joins": best(
+                lambda s, d: order_fact_after_joins(raw_tables(s, d))
             ),
         }
     print(json.dumps(result))

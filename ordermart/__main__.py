@@ -31,6 +31,7 @@ def main() -> None:
         item_grain=args.item_grain,
         conformed=args.conformed,
         fail_on=tuple(args.fail_on),
+        stage_raw=True,
     )
     report.quality.orderBy("table", "column").show(100, truncate=False)
     report.audit.show(truncate=False)

@@ -117,14 +117,20 @@ def run_job(
     conformed: bool = False,
     fail_on: tuple[str, ...] = RULES,
     sizes: JoinSizes = DEFAULT_SIZES,
+    stage_raw: bool = False,
 ) -> JobReport:
     """Build the star schema from raw tables and append what is new to the
     warehouse. Running it again changes nothing.
 
+    Raw tables are scanned several times; with `stage_raw`, meant for CSV, they
+    are parsed once into columnar files that all later scans read.
+
     Raises RuleViolation before the load if rows break a rule in `fail_on`, and
     after it if a written key is missing from the target.
     """
     work = work or shared_dir(spark)
+    if stage_raw:
+        raw = {name: _written(df, f"{work}/raw/{name}") for name, df in raw.items()}
     report = quality_report(raw, f"{work}/repeated", sizes=sizes)
     quality = _written(report, f"{work}/quality")
 
