@@ -356,7 +356,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dedup_items": _with(
             "SELECT * FROM r_order_items QUALIFY row_number() OVER (PARTITION BY order_id "
-            "ORDER BY order_item_id, product_id NULLS FIRST, seller_id, "
+            "ORDER BY order_item_id, product_id NULLS FIRST, seller_id NULLS FIRST, "
             "shipping_limit_date NULLS FIRST, price, freight_value) = 1"
         ),
         "dedup_reviews": _with(

@@ -310,9 +310,8 @@ def dedup_items(spark, sf_dir):
 @query
 def dedup_reviews(spark, sf_dir):
     reviews = raw_tables(spark, sf_dir)["order_reviews"]
-    return keep_one(
-        reviews, ["review_id"], [F.col("review_answer_timestamp").desc(), "order_id"]
-    )
+    latest = "review_answer_timestamp"
+    return keep_one(reviews, ["review_id"], [latest, "order_id"], descending=[latest])
 
 
 @query

@@ -1,5 +1,4 @@
 from ordermart.functions.columns import (
-    epoch,
     fill_defaults,
     has_time,
     null_flags,
@@ -9,7 +8,6 @@ from ordermart.functions.columns import (
 )
 
 __all__ = [
-    "epoch",
     "fill_defaults",
     "has_time",
     "null_flags",

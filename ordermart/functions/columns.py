@@ -15,44 +15,50 @@ from pyspark.sql import types as T
 from ordermart.schemas import TIMESTAMP_FORMAT
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
-def epoch(dtype: T.DataType) -> Column:
-    """1970-01-01 00:00:00: an instant for timestamps, wall time for timestamp_ntz."""
+def _zero_sql(dtype: T.DataType) -> str:
     if isinstance(dtype, T.TimestampNTZType):
-        return F.lit("1970-01-01 00:00:00").cast(dtype)
-    return F.timestamp_seconds(F.lit(0))
+        return "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    if isinstance(dtype, T.TimestampType):
+        return "timestamp_seconds(0)"
+    if isinstance(dtype, T.DateType):
+        return "DATE'1970-01-01'"
+    if isinstance(dtype, T.BooleanType):
+        return "false"
+    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+        return "'0'"
+    if isinstance(dtype, T.NumericType):
+        return f"CAST(0 AS {dtype.simpleString()})"
+    raise TypeError(f"no default for a column of type {dtype.simpleString()}")
 
 
 def typed_zero(dtype: T.DataType) -> Column:
     """The value that stands for a missing cell: 0 in the column's own type."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return epoch(dtype)
-    if isinstance(dtype, T.DateType):
-        return F.lit("1970-01-01").cast(dtype)
-    if isinstance(dtype, T.BooleanType):
-        return F.lit(False)
-    if isinstance(dtype, (T.NumericType, T.StringType, T.CharType, T.VarcharType)):
-        return F.lit(0).cast(dtype)
-    raise TypeError(f"no default for a column of type {dtype.simpleString()}")
+    return F.expr(_zero_sql(dtype))
 
 
-def _filled(name: str, dtype: T.DataType) -> Column:
-    value = named(name)
+def _filled_sql(name: str, dtype: T.DataType) -> str:
+    value = quoted(name)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        value = F.nanvl(value, F.lit(None).cast(dtype))
-    return F.coalesce(value, typed_zero(dtype)).alias(name)
+        value = f"nanvl({value}, CAST(NULL AS {dtype.simpleString()}))"
+    return f"coalesce({value}, {_zero_sql(dtype)}) AS {quoted(name)}"
 
 
 def fill_defaults(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Replace nulls (and NaN) by the typed zero, in one projection."""
-    wanted = set(df.columns if columns is None else columns)
-    return df.select(
+    schema = df.schema
+    wanted = set(schema.names if columns is None else columns)
+    return df.selectExpr(
         [
-            _filled(f.name, f.dataType) if f.name in wanted else named(f.name)
-            for f in df.schema
+            _filled_sql(f.name, f.dataType) if f.name in wanted else quoted(f.name)
+            for f in schema
         ]
     )
 
@@ -79,4 +85,4 @@ def parse_score(value: Column) -> Column:
 
 def has_time(value: Column, dtype: T.DataType) -> Column:
     """Neither null nor the epoch that a filled timestamp would hold."""
-    return value.isNotNull() & (value != epoch(dtype))
+    return value.isNotNull() & (value != typed_zero(dtype))

@@ -55,7 +55,8 @@ def order_reviews_dim(reviews: DataFrame) -> DataFrame:
     return keep_one(
         parsed.na.drop(how="any", subset=dates),
         ["review_id"],
-        [F.col("review_answer_timestamp").desc(), "order_id"],
+        ["review_answer_timestamp", "order_id"],
+        descending=["review_answer_timestamp"],
     )
 
 

@@ -23,7 +23,7 @@ def test_descending_order_then_all_other_columns(spark):
     df = spark.createDataFrame(
         [("a", 1, "p"), ("a", 2, "q"), ("a", 2, "o"), (None, 1, "n")], "k string, n int, v string"
     )
-    assert rows(keep_one(df, ["k"], [F.col("n").desc()])) == [("a", 2, "o"), (None, 1, "n")]
+    assert rows(keep_one(df, ["k"], ["n"], descending=["n"])) == [("a", 2, "o"), (None, 1, "n")]
 
 
 def test_frame_of_keys_only(spark):
