@@ -1,4 +1,4 @@
-"""spark-submit entry: python -m ordermart <raw folder> <warehouse folder>"""
+"""The whole job: python -m ordermart <raw folder> <warehouse folder>"""
 
 from __future__ import annotations
 
