@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Mapping
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +69,21 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_dir()
     return f"{root.rstrip('/')}/ordermart-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).parent
+    file = Path(tempfile.mkdtemp(prefix="ordermart-")) / "ordermart.zip"
+    with zipfile.ZipFile(file, "w") as packed:
+        for source in sorted(home.rglob("*.py")):
+            packed.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(file))
+    _shipped.add(context.applicationId)
+
+
+#: Applications that have the package.
+_shipped: set[str] = set()
