@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from ordermart.llm import bpe, license_scan, packing, secret_scan
+from pyspark.sql import functions as F
+
+from ordermart.llm import (
+    bpe,
+    embedding_dedup,
+    license_scan,
+    packing,
+    secret_scan,
+    topk_search,
+)
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +30,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), path)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path)
@@ -33,7 +49,62 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_license_scan, op4_packing, op9_bpe, op10_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op4_packing,
+        op5_embedding_dedup,
+        op7_topk_search,
+        op9_bpe,
+        op10_secret_scan,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+#: Rows of `embeddings` that can take part.
+USABLE = """
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_embedding_dedup": f"""
+        WITH RECURSIVE usable AS ({USABLE}),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ),
+        reach AS (
+            SELECT a AS node, a AS root FROM links
+            UNION
+            SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+        ),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+        roots AS (SELECT node AS vec_id, min(root) AS root FROM reach GROUP BY node)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links,
+               coalesce(root, e.vec_id) AS component_id,
+               coalesce(root, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e
+        LEFT JOIN counts c ON c.vec_id = e.vec_id LEFT JOIN roots r ON r.vec_id = e.vec_id
+    """,
+    "op7_topk_search": f"""
+        WITH usable AS (
+            SELECT vec_id, list_transform(v, lambda x: floor(256 * x)::BIGINT) AS v
+            FROM ({USABLE})
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT
+                       AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
