@@ -13,6 +13,7 @@ from ordermart.llm import (
     embedding_dedup,
     license_scan,
     packing,
+    pu_learning,
     secret_scan,
     topk_search,
 )
@@ -34,6 +35,16 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return pu_learning.score(docs, pu_learning.learn(docs, labels, "quality"), 0.3)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return pu_learning.score(docs, pu_learning.learn(docs, labels, "toxic"), 0.5)
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,7 +65,9 @@ QUERIES: dict[str, Query] = {
         op1_license_scan,
         op4_packing,
         op5_embedding_dedup,
+        op6_quality,
         op7_topk_search,
+        op8_toxicity,
         op9_bpe,
         op10_secret_scan,
     )
