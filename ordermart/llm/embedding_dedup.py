@@ -155,8 +155,8 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Runs of rows with one key out of rows that are sorted by it."""
+def runs_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with one `key`, out of rows that are sorted by it."""
     rest = None
     for batch in chain(batches, [None]):
         held = [x for x in (rest, batch) if x is not None and x.num_rows]
@@ -169,14 +169,17 @@ def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         if batch is not None:
             rest = rows.slice(starts[-2])
             starts.pop()
-        plain = {
+        for s, e in zip(starts, starts[1:]):
+            yield rows.slice(s, e - s)
+
+
+def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for rows in runs_by_key(batches):
+        tile = {
             n: rows.column(n).to_numpy(zero_copy_only=False)
             for n in ("node", "copies", "filter", "part", "a", "b")
         }
-        listed = {n: lists(rows.column(n)) for n in ("v", "filters")}
-        for s, e in zip(starts, starts[1:]):
-            tile = {n: c[s:e] for n, c in plain.items()}
-            yield tile | {"filters": listed["filters"][s:e], "unit": units(listed["v"][s:e])}
+        yield tile | {"filters": lists(rows.column("filters")), "unit": units(lists(rows.column("v")))}
 
 
 def links_of(nodes: DataFrame, threshold: float, filters: int) -> DataFrame:

@@ -12,6 +12,7 @@ from ordermart.llm import (
     bpe,
     embedding_dedup,
     license_scan,
+    ngram_join,
     packing,
     pu_learning,
     secret_scan,
@@ -26,6 +27,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_texts(table(spark, sf_dir, "documents"), path)
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op3_ngram_join,
         op4_packing,
         op5_embedding_dedup,
         op6_quality,
@@ -82,6 +88,47 @@ USABLE = """
 """
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE plain AS (
+            SELECT doc_id, array_to_string(list_filter(
+                regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> ''), ' ')
+                AS words
+            FROM documents
+        ),
+        split AS (SELECT doc_id, string_split(words, ' ') AS w FROM plain WHERE words <> ''),
+        shingles AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3),
+                    lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+            FROM split
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id
+        ),
+        links AS (
+            SELECT a, b
+            FROM common c JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE c.n >= 0.8 * (p.n + q.n - c.n)
+        ),
+        reach AS (
+            SELECT a AS node, a AS root FROM links
+            UNION
+            SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+        ),
+        classes AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+        copies AS (SELECT words, min(doc_id) AS copy_id FROM plain WHERE words <> '' GROUP BY words)
+        SELECT p.doc_id, coalesce(root, p.doc_id) AS class_id,
+               coalesce(copy_id, p.doc_id) AS copy_id, coalesce(n, 0)::BIGINT AS n_links,
+               coalesce(root, p.doc_id) = p.doc_id AS kept
+        FROM plain p
+        LEFT JOIN classes c ON c.node = p.doc_id
+        LEFT JOIN counts k ON k.a = p.doc_id
+        LEFT JOIN copies y ON y.words = p.words
+    """,
     "op5_embedding_dedup": f"""
         WITH RECURSIVE usable AS ({USABLE}),
         links AS (
