@@ -6,16 +6,40 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordermart.llm import packing, secret_scan
+from ordermart.llm import ngram_join, packing, pu_learning, secret_scan, suffix_dedup
 from ordermart.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """The count of letters follows a text that has changed."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = pu_learning.learn(docs, table(spark, sf_dir, "labels"), "quality")
+    return pu_learning.keep_positive(docs, model, 0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that stand in two places go."""
+    return counted(suffix_dedup.cut_repeats(docs))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark."""
-    return secret_scan.redact(docs, secret_scan.learn(docs))
+    return counted(secret_scan.redact(docs, secret_scan.learn(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +47,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("secrets", secrets), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
 
 #: Learnt scores, byte spans and tokenizer ids can't be expressed in SQL; the stages
 #: are tested against brute-force versions.

@@ -225,14 +225,21 @@ def join(
 def keep_first(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The documents without all but one of each class, with all their columns. Rows
     that share id and words with the one that stays go too, unless they have no words."""
-    found = join(docs, similarity, size)
-    plan = found.filter("kept").select(F.col("doc_id").alias("own_id"), "key").distinct()
+    kept = join(docs, similarity, size).filter("kept").select(
+        F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")
+    )
+    kept = kept.distinct().withColumn("own_row", F.xxhash64("own_id", "own_key"))
     key = F.pandas_udf(lambda c: c.map(lambda t: key_of(words_text(t or ""))), "binary")
     keyed = docs.withColumn("__key", key(F.col("text")))
-    kept = keyed.join(
-        plan, keyed["doc_id"].eqNullSafe(plan["own_id"]) & (keyed["__key"] == plan["key"]), "left_semi"
-    )
     empty = F.col("__key") == F.lit(key_of(""))
-    # only repeated ids can bring a class twice; rows without words are all their own
-    once = kept.filter(~empty).dropDuplicates(["doc_id", "__key"])
-    return once.union(kept.filter(empty)).drop("__key")
+    keyed = keyed.withColumn("__row", F.xxhash64("doc_id", "__key")).withColumn(
+        "__nth", F.when(empty, F.monotonically_increasing_id()).otherwise(0)
+    )
+    same = (
+        (keyed["__row"] == kept["own_row"])
+        & keyed["doc_id"].eqNullSafe(kept["own_id"])
+        & (keyed["__key"] == kept["own_key"])
+    )
+    # the join has dealt rows by __row, so this moves nothing more
+    once = keyed.join(kept, same, "left_semi").dropDuplicates(["__row", "doc_id", "__key", "__nth"])
+    return once.drop("__row", "__key", "__nth")

@@ -16,6 +16,7 @@ from ordermart.llm import (
     packing,
     pu_learning,
     secret_scan,
+    suffix_dedup,
     topk_search,
 )
 from ordermart.llm.common import table
@@ -27,6 +28,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).drop("key")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_suffix_dedup,
         op3_ngram_join,
         op4_packing,
         op5_embedding_dedup,
