@@ -33,6 +33,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ordermart.llm.common import id_and_text, map_slices, saved
 from ordermart.llm.embedding_dedup import runs_by_key
@@ -335,7 +337,7 @@ def merge_range(blobs: list[bytes]) -> tuple[list[tuple], list[tuple]]:
         number += 1
         for places in by_stretch.values():
             # one that its own run holds twice has been handed on there
-            again = len(places) > 1 or twice[places[0][0]][places[0][1]]
+            again = len(places) > 1 or bool(twice[places[0][0]][places[0][1]])
             if len(places) > 1:
                 whole.extend(places)
             if len(by_stretch) > 1:
@@ -367,18 +369,18 @@ def merge_runs(parts: DataFrame) -> DataFrame:
     """For every range: stretches that are there twice (group null), and those of
     groups with different stretches."""
 
-    def one(blobs: pd.DataFrame) -> pd.DataFrame:
-        r = int(blobs["range"].iloc[0])
-        whole, edges = merge_range(blobs["blob"].tolist())
+    schema = to_arrow_schema(T.StructType.fromDDL(MERGED))
+
+    def one(blobs: pa.Table) -> pa.Table:
+        r = blobs.column("range")[0].as_py()
+        whole, edges = merge_range(blobs.column("blob").to_pylist())
         rows = [(r, None, None, None, *x) for x in whole] + [(r, *x) for x in edges]
-        names = [c.split()[0] for c in MERGED.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype(
-            {"group": "Int64", "size": "Int64", "twice": "boolean"}
-        )
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+        return pa.Table.from_arrays(arrays, schema=schema)
 
-    return parts.filter("range IS NOT NULL").select("range", "blob").groupBy("range").applyInPandas(
-        one, MERGED
-    )
+    ranges = parts.filter("range IS NOT NULL").select("range", "blob")
+    return ranges.groupBy("range").applyInArrow(one, MERGED)
 
 
 def strings_twice(stretches: list[bytes], twice: list[bool], length: int, share: int, shares: int):
