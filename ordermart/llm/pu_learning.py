@@ -20,7 +20,6 @@ for a document each counts.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordermart.llm.common import id_and_text, map_slices, texts
+from ordermart.llm.common import id_and_text, map_slices, saved, texts
 
 #: Signs become spaces before a text is split into words.
 SIGNS = {c: " " for c in range(128) if not chr(c).isalnum()}
@@ -87,24 +86,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def telling_words(positive: list[set[str]], other: list[set[str]], least_z: float, most: int):
-    """Words whose share of texts differs most significantly between the two."""
-    p, u = Counter(), Counter()
-    for s in positive:
-        p.update(s)
-    for s in other:
-        u.update(s)
-    n, m = max(1, len(positive)), max(1, len(other))
-    found = []
-    for w in p.keys() | u.keys():
-        both = p[w] + u[w]
-        if both >= 5:
-            share = both / (n + m)
-            spread = np.sqrt(share * (1 - share) * (1 / n + 1 / m)) or 1.0
-            z = abs(p[w] / n - u[w] / m) / spread
-            if z >= least_z:
-                found.append((-z, w))
-    return [w for _, w in sorted(found)[:most]]
+def telling_words(bags: DataFrame, n: int, m: int, least_z: float, most: int) -> list[str]:
+    """Words whose share of texts differs most significantly between the n positive and
+    the m other bags."""
+    found = bags.select("positive", F.explode("words").alias("word")).groupBy("word")
+    found = found.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    share = (F.col("p") + F.col("u")) / (n + m)
+    spread = F.sqrt(share * (1 - share) * (1 / n + 1 / m))
+    found = found.filter((F.col("p") + F.col("u") >= 5) & (share < 1)).withColumn(
+        "z", F.abs(F.col("p") / n - F.col("u") / m) / spread
+    )
+    best = found.filter(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(most)
+    return [r.word for r in best.collect()]
 
 
 def log_loss(z: np.ndarray) -> np.ndarray:
@@ -116,16 +109,22 @@ def minimise(
 ) -> np.ndarray:
     """Weights (the last is the bias) that minimise the non-negative unbiased risk with
     logistic loss, by Adam. `decay` keeps them small."""
-    xp = np.hstack([positive, np.ones((len(positive), 1))])
-    xu = np.hstack([other, np.ones((len(other), 1))])
-    w = np.zeros(xp.shape[1])
+    xp, xu = np.asarray(positive, np.float32), np.asarray(other, np.float32)
+    w = np.zeros(xp.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(w), np.zeros_like(w)
+
+    def down(x: np.ndarray, each: np.ndarray) -> np.ndarray:
+        """Means of the columns, and of the bias's ones, weighted row by row."""
+        return np.append(x.T @ each.astype(np.float32), each.sum()) / len(x)
+
     for step in range(1, steps + 1):
-        zp, zu = xp @ w, xu @ w
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        as_positive = prior * (xp.T @ (sp - 1)) / len(xp)
-        as_negative = (xu.T @ su) / len(xu) - prior * (xp.T @ sp) / len(xp)
+        plain = w[:-1].astype(np.float32)
+        zp = (xp @ plain).astype(np.float64) + w[-1]
+        zu = (xu @ plain).astype(np.float64) + w[-1]
+        sp, su = np.exp(-log_loss(zp)), np.exp(-log_loss(zu))
+        as_positive = prior * down(xp, sp - 1)
+        as_negative = down(xu, su) - prior * down(xp, sp)
         risk = log_loss(-zu).mean() - prior * log_loss(-zp).mean()
         # a negative risk means that the unlabelled positives are being fitted as negatives
         gradient = as_positive + as_negative if risk >= 0 else -as_negative
@@ -136,31 +135,40 @@ def minimise(
     return w
 
 
-def fit(
-    positive: list[tuple[set[str], np.ndarray]],
-    other: list[tuple[set[str], np.ndarray]],
-    prior: float,
-    least_z: float = 4.5,
-    most_words: int = 1000,
-) -> Model:
-    if not positive or not other:
+def fit(bags: DataFrame, prior: float, least_z: float = 4.5, most_words: int = 1000) -> Model:
+    """A model from bags of positive and other texts: (positive, words, shape). Only
+    the words that tell the two apart, and which bag holds which, come to the driver."""
+    n, m = bags.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not n or not m:
         return Model({}, np.zeros(SHAPES), float(np.log(prior / (1 - prior))))
-    words = telling_words([s for s, _ in positive], [s for s, _ in other], least_z, most_words)
+    words = telling_words(bags, n, m, least_z, most_words)
     place = {w: i for i, w in enumerate(words)}
 
-    def matrix(rows: list[tuple[set[str], np.ndarray]]) -> np.ndarray:
-        found = np.zeros((len(rows), len(words) + SHAPES))
-        for i, (s, shape) in enumerate(rows):
-            found[i, [place[w] for w in s & place.keys()]] = 1
-            found[i, len(words) :] = shape
+    def told(batch: pa.RecordBatch) -> dict:
+        return {
+            "positive": batch.column("positive"),
+            "places": [[place[w] for w in ws if w in place] for ws in batch.column("words").to_pylist()],
+            "shape": batch.column("shape"),
+        }
+
+    def matrix(positive: bool, rows: int) -> np.ndarray:
+        some = bags.filter(F.col("positive") == positive)
+        held = map_slices(some, told, "positive boolean, places array<int>, shape array<double>")
+        found = np.zeros((rows, len(words) + SHAPES), np.float32)
+        for i, r in enumerate(held.select("places", "shape").toLocalIterator()):
+            found[i, r.places] = 1
+            found[i, len(words) :] = r.shape
         return found
 
-    xp, xu = matrix(positive), matrix(other)
+    xp, xu = matrix(True, n), matrix(False, m)
     centre, spread = xu.mean(axis=0), xu.std(axis=0)
     # words are present or not; rare ones must not weigh more for being rare
     spread[: len(words)], centre[: len(words)] = 1.0, 0.0
     spread[spread < 1e-3] = 1e-3
-    w = minimise((xp - centre) / spread, (xu - centre) / spread, prior)
+    for x in (xp, xu):
+        x -= centre
+        x /= spread
+    w = minimise(xp, xu, prior)
     plain = w[:-1] / spread
     return Model(
         dict(zip(words, plain[: len(words)].tolist())),
@@ -190,15 +198,18 @@ def learn(
             "shape": [shape_of(t, words).tolist() for t, words in found],
         }
 
-    def sample(frame: DataFrame, most: int, seed: int) -> list[tuple[set[str], np.ndarray]]:
-        """The rows of smallest hash; the bound is what makes them fit the driver."""
-        order = F.xxhash64("doc_id", F.lit(seed))
-        some = frame.orderBy(order, "doc_id", F.xxhash64("text")).limit(most)
-        bags = map_slices(some, bag, "words array<string>, shape array<double>")
-        return [(set(r.words), np.array(r.shape)) for r in bags.toLocalIterator()]
-
-    positive = sample(rows.join(marks.filter("y = 1").select("doc_id"), "doc_id"), positives, 1)
-    return fit(positive, sample(rows, unlabelled, 2), prior)
+    def sample(ids: DataFrame, most: int, seed: int, positive: bool) -> DataFrame:
+        """Bags of the texts whose ids have the smallest hashes; `most` ids are few
+        enough to go to every task. Of several texts under an id the smallest counts."""
+        some = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+        chosen = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        bags = map_slices(chosen, bag, "words array<string>, shape array<double>")
+        return bags.withColumn("positive", F.lit(positive))
+
+    ids = rows.select("doc_id")
+    trusted = ids.join(marks.filter("y = 1").select("doc_id"), "doc_id", "left_semi")
+    bags = sample(trusted, positives, 1, True).union(sample(ids, unlabelled, 2, False))
+    return fit(saved(bags), prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
