@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from ordermart.plans.job import RULES, run_job
+from ordermart.plans.job import MALFORMED, RULES, run_job
 from ordermart.session import build_session, object_store_conf
 from ordermart.sinks.warehouse import ParquetWarehouse
 from ordermart.sources import read_tables
@@ -25,7 +25,7 @@ def main() -> None:
     spark = build_session(conf=object_store_conf(package=args.s3a_package))
     report = run_job(
         spark,
-        read_tables(spark, args.raw, infer=args.infer),
+        read_tables(spark, args.raw, infer=args.infer, malformed=None if args.infer else MALFORMED),
         ParquetWarehouse(spark, args.warehouse),
         work=args.work,
         item_grain=args.item_grain,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermart.functions.columns import fill_defaults, parse_score, parse_timestamp
+from ordermart.functions.columns import fill_defaults, has_time, parse_score, parse_timestamp
 from ordermart.operators.dedup import keep_one
 from ordermart.operators.quality import clean
 from ordermart.schemas import TABLES
@@ -43,7 +43,8 @@ def order_items_dim(items: DataFrame, grain: str = "order") -> DataFrame:
 
 
 def order_reviews_dim(reviews: DataFrame) -> DataFrame:
-    """Reviews with two readable dates, the latest answer per review id."""
+    """Reviews with two readable dates, the latest answer per review id. A missing date
+    is the epoch once it is filled, whatever the column's type."""
     dates = ["review_creation_date", "review_answer_timestamp"]
     types = {c: reviews.schema[c].dataType for c in dates}
     parsed = fill_defaults(reviews.select(*_columns("Order_Reviews"))).withColumns(
@@ -52,8 +53,9 @@ def order_reviews_dim(reviews: DataFrame) -> DataFrame:
             **{c: parse_timestamp(F.col(c), types[c]) for c in dates},
         }
     )
+    there = [has_time(F.col(c), parsed.schema[c].dataType) for c in dates]
     return keep_one(
-        parsed.na.drop(how="any", subset=dates),
+        parsed.filter(there[0] & there[1]),
         ["review_id"],
         ["review_answer_timestamp", "order_id"],
         descending=["review_answer_timestamp"],

@@ -30,8 +30,12 @@ from ordermart.plans.fact import order_fact, order_fact_conformed
 from ordermart.schemas import TABLES, load_order
 from ordermart.session import shared_dir
 from ordermart.sinks.warehouse import key_audit, load_warehouse
+from ordermart.sources.files import scan_rejects
 
-RULES = ("type", "length", "primary key", "foreign key")
+#: Column of raw tables with the text of rows that the scan could not read in full.
+MALFORMED = "_malformed"
+
+RULES = ("row", "type", "length", "primary key", "foreign key")
 
 
 class RuleViolation(Exception):
@@ -78,6 +82,22 @@ def value_violations(star: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def scan_violations(raw: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """Cells (rule `type`) and rows (rule `row`) of raw tables that the scan could not
+    read, with their text as key: rule, table, column, key, n."""
+    return [
+        scan_rejects(df, MALFORMED).select(
+            F.when(F.col("column").isNull(), "row").otherwise("type").alias("rule"),
+            F.lit(name).alias("table"),
+            "column",
+            F.col("text").alias("key"),
+            F.lit(1).cast("bigint").alias("n"),
+        )
+        for name, df in raw.items()
+        if MALFORMED in df.columns
+    ]
+
+
 def key_violations(star: Mapping[str, DataFrame]) -> DataFrame:
     """Broken primary and foreign keys: rule, table, column, key, n."""
     parts = []
@@ -123,14 +143,21 @@ def run_job(
     warehouse. Running it again changes nothing.
 
     Raw tables are scanned several times; with `stage_raw`, meant for CSV, they
-    are parsed once into columnar files that all later scans read.
+    are parsed once into columnar files that all later scans read. Tables with a
+    MALFORMED column always are, and what their scan could not read is a violation.
 
     Raises RuleViolation before the load if rows break a rule in `fail_on`, and
     after it if a written key is missing from the target.
     """
     work = work or shared_dir(spark)
-    if stage_raw:
-        raw = {name: _written(df, f"{work}/raw/{name}") for name, df in raw.items()}
+    raw = {
+        name: _written(df, f"{work}/raw/{name}")
+        if stage_raw or MALFORMED in df.columns
+        else df
+        for name, df in raw.items()
+    }
+    unread = scan_violations(raw)
+    raw = {name: df.drop(MALFORMED) for name, df in raw.items()}
     report = quality_report(raw, f"{work}/repeated", sizes=sizes)
     quality = _written(report, f"{work}/quality")
 
@@ -147,8 +174,8 @@ def run_job(
     star = {name: conform(df, TABLES[name]) for name, df in staged.items()}
 
     violations = value_violations(staged).unionByName(key_violations(star))
-    found = _written(violations, f"{work}/violations")
-    # One row per rule, of which there are four.
+    found = _written(reduce(DataFrame.unionByName, unread, violations), f"{work}/violations")
+    # One row per rule, of which there are five.
     counts = found.groupBy("rule").agg(F.count("*").alias("n")).collect()
     broken = {row["rule"]: row["n"] for row in counts if row["rule"] in fail_on}
     if broken:

@@ -28,6 +28,7 @@ def read_table(
     schema: T.StructType | None = None,
     infer: bool = False,
     multiline: bool = False,
+    malformed: str | None = None,
 ) -> DataFrame:
     """A CSV table with a header row, its columns found by their header names.
 
@@ -35,7 +36,9 @@ def read_table(
     other is text. A file whose header differs from the first one's raises. With
     `infer` Spark reads the data twice to find the types. `multiline` allows line
     breaks inside quotes, at the price of one task per file, so it belongs to
-    tables with free text only.
+    tables with free text only. With `malformed`, a column of that name holds the
+    text of a row that has a cell its type cannot hold, or too many or few cells;
+    `scan_rejects` tells which.
     """
 
     def reader(**options) -> DataFrameReader:
@@ -48,7 +51,34 @@ def read_table(
         return text
     types = {f.name: f.dataType for f in schema}
     in_file = [T.StructField(c, types.get(c, T.StringType())) for c in text.columns]
-    return reader(enforceSchema=False).schema(T.StructType(in_file)).csv(path)
+    options = {"enforceSchema": False}
+    if malformed:
+        in_file.append(T.StructField(malformed, T.StringType()))
+        options["columnNameOfCorruptRecord"] = malformed
+    return reader(**options).schema(T.StructType(in_file)).csv(path)
+
+
+def scan_rejects(df: DataFrame, malformed: str) -> DataFrame:
+    """What a typed scan could not read, of a table that keeps `malformed`: column and
+    text of each such cell; for a row with too many or few cells no column, and its
+    text. Read the table from written files, as a scan of fewer columns sees less."""
+    cells = [f.name for f in df.schema if f.name != malformed]
+    as_text = T.StructType([T.StructField(c, T.StringType()) for c in cells]).simpleString()
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+    text = F.from_csv(F.col(malformed), as_text.removeprefix("struct<")[:-1].replace(":", " "), options)
+    found = df.filter(F.col(malformed).isNotNull()).withColumn("__text", text)
+    bad = [
+        F.when(
+            F.col(f"`{c}`").isNull() & F.col("__text").getField(c).isNotNull(),
+            F.struct(F.lit(c).alias("column"), F.col("__text").getField(c).alias("text")),
+        )
+        for c in cells
+    ]
+    whole = F.struct(F.lit(None).cast("string").alias("column"), F.col(malformed).alias("text"))
+    rejects = F.array_compact(F.array(*bad))
+    return found.select(
+        F.inline(F.when(F.size(rejects) > 0, rejects).otherwise(F.array(whole)))
+    )
 
 
 def list_objects(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFrame:
@@ -83,13 +113,19 @@ def read_tables(
     root: str,
     schemas: Mapping[str, T.StructType] = RAW,
     infer: bool = False,
+    malformed: str | None = None,
 ) -> dict[str, DataFrame]:
-    """The known tables found below `root`, by base name."""
+    """The known tables found below `root`, by base name; `malformed` as in read_table."""
     known = table_objects(spark, root).filter(F.col("name").isin(*schemas))
     # At most one row per known table comes to the driver.
     return {
         row["name"]: read_table(
-            spark, row["object"], schemas[row["name"]], infer, row["name"] in MULTILINE
+            spark,
+            row["object"],
+            schemas[row["name"]],
+            infer,
+            row["name"] in MULTILINE,
+            malformed,
         )
         for row in known.collect()
     }

@@ -52,13 +52,12 @@ def test_reviews_with_missing_or_junk_dates_go(make_raw):
     assert rows(got) == [("r4", "o1", None), ("r5", "o3", 5.0)]
 
 
-def test_review_dates_declared_as_timestamps_become_the_epoch(spark, make_raw):
+def test_reviews_without_a_date_leave_whatever_its_type(spark, make_raw):
     reviews = make_raw(order_reviews=[review("r1", "o1", answered=None)])["order_reviews"]
     typed = reviews.withColumn(
         "review_answer_timestamp", F.col("review_answer_timestamp").cast("timestamp")
     )
-    got = dims.order_reviews_dim(typed).select(F.unix_micros("review_answer_timestamp"))
-    assert rows(got) == [(0,)]
+    assert dims.order_reviews_dim(typed).count() == 0
     assert dims.order_reviews_dim(reviews).count() == 0
 
 

@@ -1,7 +1,7 @@
 import pytest
 from conftest import item, order, payment, review, rows
 
-from ordermart.plans.job import RuleViolation, run_job
+from ordermart.plans.job import MALFORMED, RuleViolation, run_job
 from ordermart.schemas import TABLES
 from ordermart.sinks.landing import land_csv, land_files
 from ordermart.sinks.warehouse import ParquetWarehouse
@@ -70,3 +70,45 @@ def test_a_review_outside_the_dimension(spark, tmp_path, make_raw):
         run_job(spark, raw, warehouse)
     run_job(spark, raw, warehouse, conformed=True)
     assert counts(warehouse)["Orders"] == 0
+
+
+def test_cells_and_rows_that_the_scan_cannot_read_stop_the_load(spark, tmp_path, make_raw):
+    folder = tmp_path / "in"
+    for name, df in make_raw().items():
+        land_csv(df, str(folder / f"{name}.csv"))
+
+    def spoil(name, change):
+        parts = sorted((folder / f"{name}.csv").glob("part-*.csv"))
+        (part,) = [p for p in parts if len(p.read_text().splitlines()) > 1]
+        header, line, *_ = part.read_text().splitlines()
+        for crc in part.parent.glob(".*.crc"):
+            crc.unlink()
+        part.write_text("\n".join([header, *change(header.split(","), line)]) + "\n")
+
+    def cell(column, value):
+        def change(header, line):
+            cells = line.split(",")
+            cells[header.index(column)] = value
+            return [",".join(cells)]
+
+        return change
+
+    spoil("order_items", cell("price", '"12,50"'))
+    spoil("products", cell("product_weight_g", "heavy"))
+    spoil("order_payments", cell("payment_value", "R$ 10"))
+    spoil("customers", lambda _, line: [line, line + ",more,fields", "c9,7"])
+    raw = read_tables(spark, str(folder), malformed=MALFORMED)
+    warehouse = ParquetWarehouse(spark, str(tmp_path / "warehouse"))
+    with pytest.raises(RuleViolation, match="row"):
+        run_job(spark, raw, warehouse)
+    assert counts(warehouse)["Customers"] == 0
+
+    found = run_job(spark, raw, warehouse, fail_on=()).violations
+    got = {tuple(r) for r in found.select("rule", "table", "column", "key").collect()}
+    assert {
+        ("type", "order_items", "price", "12,50"),
+        ("type", "products", "product_weight_g", "heavy"),
+        ("type", "order_payments", "payment_value", "R$ 10"),
+        ("row", "customers", None, "c9,7"),
+    } <= got
+    assert sum(r[0] == "row" for r in got) == 2
