@@ -13,6 +13,11 @@ group's stretches those that are there twice are removed whole. Where a group ha
 different stretches, copies begin or end near the anchor; these stretches are fetched
 and their strings compared one by one, within the group.
 
+Range borders hold a stretch's hash behind the suffix, so that a passage in a large
+share of all texts, whose edges make as many different stretches, spreads over many
+ranges. The strings of such a group are not gathered: they are counted by their hashes
+over the whole cluster.
+
 Null texts count as empty. Matches never cross documents; strings are judged on the
 input. Repeated rows are copies of each other. Texts of any length are read in pieces.
 An empty table gives no rows; only the named columns are read.
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ordermart.llm.common import id_and_text, map_slices, saved
+from ordermart.llm.common import id_and_text, map_slices, saved, texts
 from ordermart.llm.embedding_dedup import runs_by_key
 from ordermart.llm.shingles import mixed
 
@@ -48,9 +53,10 @@ PIECE = 2**18
 RUN = 150_000
 #: Bytes of text in a range of the sort.
 RANGE_BYTES = 12_000_000
-#: Texts that set the range borders. They shape the ranges' sizes, not the result.
-SAMPLE_TEXTS = 400
-#: Stretches of a group that are compared in one task.
+#: One in so many texts, and of their anchors one in so many, set the range borders.
+#: They shape the ranges' sizes, not the result.
+SAMPLE_SHARE, SAMPLE_ANCHORS = 512, 4
+#: Stretches of a group that are compared in one task; larger groups are spread.
 TOGETHER = 4096
 
 ENTRY = np.dtype(
@@ -158,6 +164,11 @@ def front_coded(suffix: np.ndarray, entries: np.ndarray, docs: np.ndarray) -> by
     return zstandard.ZstdCompressor(level=1).compress(packed)
 
 
+def with_stretch(suffix: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Rows of letters: suffixes, and the hashes of their stretches behind them."""
+    return np.hstack([suffix, stretch.astype(">u8").view(np.uint8).reshape(-1, 8)])
+
+
 class Run:
     """A front-coded part of a run, read back."""
 
@@ -250,7 +261,8 @@ def sorted_runs(docs: DataFrame, length: int, borders: list[bytes]) -> DataFrame
     """Front-coded parts of runs by range, and what a run alone shows to be twice
     there (range null). Of a run's equal stretches one goes on."""
     schema = f"range int, blob binary, {FOUND}"
-    limits = np.array([np.frombuffer(b, np.uint8) for b in borders], np.uint8).reshape(-1, GRAM)
+    limits = np.array([np.frombuffer(b, np.uint8) for b in borders], np.uint8)
+    limits = limits.reshape(-1, GRAM + 8).view(f"S{GRAM + 8}").ravel()
 
     def rows_of(names: dict, n: int) -> pa.RecordBatch:
         kinds = [
@@ -265,7 +277,7 @@ def sorted_runs(docs: DataFrame, length: int, borders: list[bytes]) -> DataFrame
     def flush(held: list[tuple], docs: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         doc, low, high, suffix, stretch = (np.concatenate(c) for c in zip(*held))
         named = np.array(docs, dtype=np.int64)
-        joined = np.hstack([suffix, stretch.astype(">u8").view(np.uint8).reshape(-1, 8)])
+        joined = with_stretch(suffix, stretch)
         order = np.argsort(np.ascontiguousarray(joined).view(f"S{GRAM + 8}").ravel(), kind="stable")
         joined = joined[order]
         doc, low, high = doc[order], low[order], high[order]
@@ -285,10 +297,9 @@ def sorted_runs(docs: DataFrame, length: int, borders: list[bytes]) -> DataFrame
         entries = np.zeros(int(head.sum()), ENTRY)
         entries["doc"], entries["low"], entries["high"] = doc[head], low[head], high[head]
         entries["twice"], entries["stretch"] = twice[head], stretch[order][head]
-        suffix = np.ascontiguousarray(joined[head, :GRAM])
-        cuts = np.searchsorted(
-            suffix.view(f"S{GRAM}").ravel(), np.ascontiguousarray(limits).view(f"S{GRAM}").ravel()
-        )
+        suffix = joined[head]
+        cuts = np.searchsorted(suffix.view(f"S{GRAM + 8}").ravel(), limits)
+        suffix = suffix[:, :GRAM]
         edges = [0, *cuts.tolist(), len(suffix)]
         for r, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
@@ -316,56 +327,67 @@ def sorted_runs(docs: DataFrame, length: int, borders: list[bytes]) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
-def merge_range(blobs: list[bytes]) -> tuple[list[tuple], list[tuple]]:
-    """Of one range: (run, entry) places that are there twice, and groups of different
-    stretches as (group, size, run, entry, twice)."""
+def merge_range(
+    blobs: list[bytes], border: set[bytes], together: int
+) -> tuple[list[tuple], list[tuple]]:
+    """Of one range: places that are there twice, and stretches of groups with different
+    ones as (group, large, twice, place). A group whose suffix is at a `border` may go
+    on beyond it and counts as large, like one of more than `together` stretches. Groups
+    are told by a hash; should two have the same, their strings are compared in vain."""
     runs = [Run(b) for b in blobs]
     twice = [r.entries["twice"].tolist() for r in runs]
     stretch = [r.entries["stretch"].tolist() for r in runs]
     at = [0] * len(runs)
     whole, edges = [], []
     group: list[tuple[int, int]] = []
-    number = 0
 
-    def close() -> None:
-        nonlocal number
-        if len(group) < 2:
+    def close(suffix: bytes) -> None:
+        open_end = suffix in border
+        if len(group) < 2 and not open_end:
             return
         by_stretch = defaultdict(list)
         for r, i in group:
             by_stretch[stretch[r][i]].append((r, i))
-        number += 1
+        name = signed(xxhash.xxh3_64_digest(suffix))[0]
+        large = open_end or len(by_stretch) > together
         for places in by_stretch.values():
             # one that its own run holds twice has been handed on there
             again = len(places) > 1 or bool(twice[places[0][0]][places[0][1]])
             if len(places) > 1:
                 whole.extend(places)
-            if len(by_stretch) > 1:
-                edges.append((number, len(by_stretch), *places[0], again))
+            if len(by_stretch) > 1 or open_end:
+                edges.append((name, large, again, *places[0]))
 
-    for r, prefix, _ in merged([x.suffixes() for x in runs]):
+    last = b""
+    for r, prefix, suffix in merged([x.suffixes() for x in runs]):
         if prefix < GRAM:
-            close()
+            close(last)
             group = []
         group.append((r, at[r]))
         at[r] += 1
-    close()
+        last = suffix
+    close(last)
     return (
         [named(runs[r], i) for r, i in whole],
-        [(g, n, again, *named(runs[r], i)) for g, n, r, i, again in edges],
+        [(*told, *named(runs[r], i)) for *told, r, i in edges],
     )
 
 
+def signed(digest: bytes) -> tuple[int, ...]:
+    """A hash as longs."""
+    return struct.unpack(f">{len(digest) // 8}q", digest)
+
+
 def named(run: Run, i: int) -> tuple:
     e = run.entries[i]
     doc = run.docs[e["doc"]]
     return int(doc[0]), bool(doc[1]), int(doc[2]), int(e["low"]), int(e["high"])
 
 
-MERGED = f"range int, group long, size long, twice boolean, {FOUND}"
+MERGED = f"group long, large boolean, twice boolean, {FOUND}"
 
 
-def merge_runs(parts: DataFrame) -> DataFrame:
+def merge_runs(parts: DataFrame, borders: list[bytes], together: int) -> DataFrame:
     """For every range: stretches that are there twice (group null), and those of
     groups with different stretches."""
 
@@ -373,8 +395,9 @@ def merge_runs(parts: DataFrame) -> DataFrame:
 
     def one(blobs: pa.Table) -> pa.Table:
         r = blobs.column("range")[0].as_py()
-        whole, edges = merge_range(blobs.column("blob").to_pylist())
-        rows = [(r, None, None, None, *x) for x in whole] + [(r, *x) for x in edges]
+        border = {b[:GRAM] for b in borders[max(0, r - 1) : r + 1]}
+        whole, edges = merge_range(blobs.column("blob").to_pylist(), border, together)
+        rows = [(None, None, None, *x) for x in whole] + edges
         columns = zip(*rows) if rows else [[]] * len(schema)
         arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
         return pa.Table.from_arrays(arrays, schema=schema)
@@ -383,25 +406,25 @@ def merge_runs(parts: DataFrame) -> DataFrame:
     return ranges.groupBy("range").applyInArrow(one, MERGED)
 
 
-def strings_twice(stretches: list[bytes], twice: list[bool], length: int, share: int, shares: int):
-    """For each of a group's different stretches, the first places of strings that
-    another one holds too. Only hashes that fall to `share` are compared."""
+def strings(stretch: bytes, length: int) -> list[bytes]:
+    """Hashes of a stretch's strings."""
     digest = xxhash.xxh3_128_digest
+    return [digest(stretch[i : i + length]) for i in range(len(stretch) - length + 1)]
+
+
+def strings_twice(stretches: list[bytes], twice: list[bool], length: int) -> list[list[int]]:
+    """For each of a group's different stretches, the first places of strings that
+    another one holds too."""
     seen: dict[bytes, int] = {}
     again: set[bytes] = set()
     found = []
     for t, s in enumerate(stretches):
-        own = []
-        for i in range(len(s) - length + 1):
-            h = digest(s[i : i + length])
-            if shares > 1 and h[0] % shares != share:
-                continue
-            own.append((i, h))
-            if seen.setdefault(h, t) != t:
-                again.add(h)
+        own = strings(s, length)
+        again.update(h for h in own if seen.setdefault(h, t) != t)
         found.append(own)
     return [
-        [] if whole else [i for i, h in own if h in again] for own, whole in zip(found, twice)
+        [] if whole else [i for i, h in enumerate(own) if h in again]
+        for own, whole in zip(found, twice)
     ]
 
 
@@ -419,46 +442,36 @@ def runs_of(places: list[int]) -> Iterator[tuple[int, int]]:
         yield start, last
 
 
-def compare_edges(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
-    """Stretches of strings (FOUND) that stand in two different stretches of a group."""
-    edges = edges.withColumnsRenamed({"doc_id": "own_id", "hash": "own_hash"})
-    # one task does so many stretches of a group; larger groups are dealt by string
-    shares = F.ceil(F.col("size") / TOGETHER).cast("int")
-    edges = edges.withColumn("shares", shares).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    )
-    wanted = edges.groupBy("own_id", "has_id", "own_hash").agg(
-        F.collect_list(
-            F.struct("range", "group", "shares", "share", "twice", "low", "high")
-        ).alias("places")
+CUT = "key long, large boolean, twice boolean, doc_id long, hash long, low long, stretch binary"
+
+
+def fetched(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+    """The bytes of stretches (CUT); key is the group."""
+    wanted = edges.groupBy("doc_id", "has_id", "hash").agg(
+        F.collect_list(F.struct("group", "large", "twice", "low", "high")).alias("places")
     )
+    wanted = wanted.withColumnsRenamed({"doc_id": "own_id", "hash": "own_hash"})
     own = F.when(F.col("has_id"), F.col("own_id"))
-    fetched = docs
-    fetched = fetched.join(
+    found = docs.join(
         wanted, (F.col("hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(own)
     ).select("doc_id", "hash", "text", "places")
-
-    schema = (
-        "key string, shares int, share int, twice boolean, doc_id long, hash long, low long, "
-        "stretch binary"
-    )
+    names = [c.split()[0] for c in CUT.split(", ")]
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out = {c.split()[0]: [] for c in schema.split(", ")}
+        rows = []
         for doc, h, text, places in zip(*(batch.column(c).to_pylist() for c in range(4))):
             data = text.encode()
             for p in places:
-                out["key"].append(f"{p['range']}|{p['group']}|{p['share']}")
-                out["shares"].append(p["shares"])
-                out["share"].append(p["share"])
-                out["twice"].append(p["twice"])
-                out["doc_id"].append(doc)
-                out["hash"].append(h)
-                out["low"].append(p["low"])
-                out["stretch"].append(data[p["low"] : p["high"] + length])
-        return out
-
-    dealt = map_slices(fetched, cut, schema).repartition("key").sortWithinPartitions("key")
+                stretch = data[p["low"] : p["high"] + length]
+                rows.append((p["group"], p["large"], p["twice"], doc, h, p["low"], stretch))
+        return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+
+    return map_slices(found, cut, CUT)
+
+
+def compare_gathered(stretches: DataFrame, length: int) -> DataFrame:
+    """FOUND rows of groups that are small enough to be compared in one task each."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_by_key(batches):
@@ -466,9 +479,7 @@ def compare_edges(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
             once, place = {}, []  # a repeated row brings its stretches again
             for s, whole in zip(c["stretch"], c["twice"]):
                 place.append(once.setdefault(s, (len(once), whole))[0])
-            found = strings_twice(
-                list(once), [w for _, w in once.values()], length, c["share"][0], c["shares"][0]
-            )
+            found = strings_twice(list(once), [w for _, w in once.values()], length)
             got = [
                 (c["doc_id"][k] or 0, c["doc_id"][k] is not None, c["hash"][k],
                  c["low"][k] + a, c["low"][k] + b)
@@ -476,24 +487,62 @@ def compare_edges(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
                 for a, b in runs_of(found[p])
             ]
             if got:
-                names = [x.split()[0] for x in FOUND.split(", ")]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*got))))
 
-    return dealt.mapInArrow(run, FOUND)
+    return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+
+
+def compare_spread(stretches: DataFrame, length: int) -> DataFrame:
+    """FOUND rows of groups of any size, one for each string. Strings are counted by
+    their hashes, in part before the shuffle; a string that very many stretches hold is
+    a hot key of a semi-join only, which adaptive execution splits."""
+    schema = f"one long, two long, stretch long, twice boolean, {FOUND}"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def each(batch: pa.RecordBatch) -> dict:
+        rows = []
+        columns = (batch.column(n).to_pylist() for n in ("doc_id", "hash", "low", "twice", "stretch"))
+        for doc, h, low, twice, s in zip(*columns):
+            own = signed(xxhash.xxh3_64_digest(s))[0]
+            for at, digest in enumerate(strings(s, length), low):
+                rows.append((*signed(digest), own, twice, doc or 0, doc is not None, h, at, at))
+        return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+
+    found = map_slices(stretches, each, schema)
+    again = found.groupBy("one", "two").agg(
+        F.min("stretch").alias("first"), F.max("stretch").alias("last")
+    )
+    again = again.filter("first < last").select("one", "two")
+    found = found.filter("NOT twice").join(again, ["one", "two"], "left_semi")
+    return found.select(*[x.split()[0] for x in FOUND.split(", ")])
+
+
+def compare_edges(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+    """Stretches of strings (FOUND) that stand in two different stretches of a group."""
+    stretches = fetched(docs, edges, length)
+    gathered = compare_gathered(stretches.filter("NOT large"), length)
+    return gathered.union(compare_spread(stretches.filter("large"), length))
 
 
 def range_borders(docs: DataFrame, length: int, ranges: int) -> list[bytes]:
-    """Suffixes that cut a sample's anchors into equal parts."""
+    """Suffixes, with their stretches' hashes, that cut a sample's into equal parts. The
+    sample is a share of all texts, so that it grows with the number of ranges."""
     if ranges < 2:
         return []
-    some = docs.orderBy("hash", "doc_id").limit(SAMPLE_TEXTS).select(
-        F.substring("text", 1, 4 * PIECE).alias("text")
-    )
-    rows = [r.text.encode() for r in some.toLocalIterator()]
-    suffixes = sorted(s.tobytes() for *_, found, _ in found_in(rows, length) for s in found)
-    if not suffixes:
+    drawn = F.pmod(F.xxhash64("doc_id", "hash", F.lit(5)), F.lit(SAMPLE_SHARE)) == 0
+
+    def keys(batch: pa.RecordBatch) -> dict:
+        found = set()
+        for *_, suffix, stretch in found_in([t.encode() for t in texts(batch)], length):
+            some = stretch % np.uint64(SAMPLE_ANCHORS) == 0
+            found.update(row.tobytes() for row in with_stretch(suffix[some], stretch[some]))
+        return {"key": sorted(found)}
+
+    sample = map_slices(docs.filter(drawn).select("text"), keys, "key binary").distinct()
+    found = sorted(bytes(r.key) for r in sample.toLocalIterator())
+    if not found:
         return []
-    return sorted({suffixes[len(suffixes) * i // ranges] for i in range(1, ranges)})
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)})
 
 
 def duplicates(docs: DataFrame, length: int) -> DataFrame:
@@ -506,7 +555,7 @@ def duplicates(docs: DataFrame, length: int) -> DataFrame:
     parts = saved(sorted_runs(docs, length, borders))
     columns = [c.split()[0] for c in FOUND.split(", ")]
     local = parts.filter("range IS NULL").select(*columns)
-    both = saved(merge_runs(parts))
+    both = saved(merge_runs(parts, borders, TOGETHER))
     whole = both.filter("group IS NULL").select(*columns)
     edges = compare_edges(docs, both.filter("group IS NOT NULL"), length)
     return local.union(whole).union(edges)

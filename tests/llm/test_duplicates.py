@@ -129,19 +129,45 @@ def test_merge_is_a_sort():
         assert prefix == same
 
 
-@pytest.mark.parametrize("shares", [1, 3])
-def test_shares_of_a_group_add_up(shares):
+@pytest.mark.parametrize("spread", [False, True])
+def test_strings_of_a_group(spark, spread):
     rng = random.Random(1)
     stretches = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(30)]
-    parts = [
-        suffix_dedup.strings_twice(stretches, [False] * 30, 8, s, shares) for s in range(shares)
-    ]
+    rows = [(7, spread, False, t, t, 100, s) for t, s in enumerate(stretches)]
+    rows += rows[:1]
+    frame = spark.createDataFrame(rows, suffix_dedup.CUT)
+    compare = suffix_dedup.compare_spread if spread else suffix_dedup.compare_gathered
+    places = defaultdict(set)
+    for r in compare(frame, 8).collect():
+        places[r.doc_id] |= set(range(r.low - 100, r.high - 99))
     for t, text in enumerate(stretches):
-        want = [
+        want = {
             i for i in range(53)
             if any(text[i : i + 8] in other for k, other in enumerate(stretches) if k != t)
-        ]
-        assert sorted(i for p in parts for i in p[t]) == want
+        }
+        assert places[t] == want
+
+
+@pytest.mark.parametrize("together", [1, 4096])
+def test_one_passage_in_most_texts_is_spread_over_ranges(docs, monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_SHARE", 1)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    passage = noise(150)
+    given = [(i, noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90))) for i in range(120)]
+    given += [(200 + i, t) for i, t in given[:10]] + passages(3)
+    seen, borders = [], suffix_dedup.range_borders
+    monkeypatch.setattr(
+        suffix_dedup, "range_borders", lambda *a: seen.append(borders(*a)) or seen[-1]
+    )
+    check_repeats(docs, given, 100)
+    suffixes = [b[: suffix_dedup.GRAM] for b in seen[0]]
+    assert len(set(seen[0])) > len(set(suffixes))  # one suffix's group lies in several ranges
 
 
 def test_cut_repeats_keeps_columns(docs):
