@@ -519,7 +519,8 @@ def compare_spread(stretches: DataFrame, length: int) -> DataFrame:
 
 def compare_edges(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """Stretches of strings (FOUND) that stand in two different stretches of a group."""
-    stretches = fetched(docs, edges, length)
+    # written, or each of its readers would join the texts anew
+    stretches = saved(fetched(docs, edges, length))
     gathered = compare_gathered(stretches.filter("NOT large"), length)
     return gathered.union(compare_spread(stretches.filter("large"), length))
 
