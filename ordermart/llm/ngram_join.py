@@ -41,7 +41,8 @@ def key_of(plain: str) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """doc_id, key (of the words), n (shingles) and the band hashes of every row."""
+    """doc_id, key (of the words), hash (of the text), n (shingles) and the band hashes
+    of every row."""
 
     def run(batch: pa.RecordBatch) -> dict:
         plain = [words_text(t) for t in texts(batch)]
@@ -49,13 +50,15 @@ def signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
         return {
             "doc_id": batch.column("doc_id"),
             "key": [key_of(p) for p in plain],
+            "hash": batch.column("hash"),
             "n": [len(s) for s in sets],
             "bands": [
                 band_hashes(s, bands).view(np.int64).tolist() if len(s) else [] for s in sets
             ],
         }
 
-    return map_slices(id_and_text(docs), run, "doc_id long, key binary, n int, bands array<long>")
+    rows = id_and_text(docs).withColumn("hash", F.xxhash64("text"))
+    return map_slices(rows, run, "doc_id long, key binary, hash long, n int, bands array<long>")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -181,7 +184,8 @@ def join(
 ) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest id reachable by links),
     copy_id (smallest id of a document with the same words), n_links (other documents
-    that are similar), kept (the one row of its class that stays), key (of its words)."""
+    that are similar), key (of its words), hash (of its text), n (its shingles), kept (the
+    one row of its class that stays)."""
     signed = saved(signatures(docs, size, Bands.choose(similarity, recall)))
     nodes = (
         signed.filter("n > 0")
@@ -212,34 +216,33 @@ def join(
         F.col("doc_id").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    linked = signed.filter("n > 0").select("doc_id", "key").join(found, "key")
-    linked = linked.select("doc_id", "class_id", "copy_id", "n_links", "key")
+    linked = signed.filter("n > 0").select("doc_id", "key", "hash", "n").join(found, "key")
+    linked = linked.select("doc_id", "class_id", "copy_id", "n_links", "key", "hash", "n")
     own = F.col("doc_id")
     alone = signed.filter("n = 0").select(
-        own, own.alias("class_id"), own.alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "key"
-    )
+        own, own.alias("class_id"), own.alias("copy_id"),
+        F.lit(0).cast("long").alias("n_links"), "key", "hash", "n",
+    )
     rows = linked.union(alone)
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The documents without all but one of each class, with all their columns. Rows
-    that share id and words with the one that stays go too, unless they have no words."""
-    kept = join(docs, similarity, size).filter("kept").select(
-        F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")
-    )
-    kept = kept.distinct().withColumn("own_row", F.xxhash64("own_id", "own_key"))
-    key = F.pandas_udf(lambda c: c.map(lambda t: key_of(words_text(t or ""))), "binary")
-    keyed = docs.withColumn("__key", key(F.col("text")))
-    empty = F.col("__key") == F.lit(key_of(""))
-    keyed = keyed.withColumn("__row", F.xxhash64("doc_id", "__key")).withColumn(
-        "__nth", F.when(empty, F.monotonically_increasing_id()).otherwise(0)
+    that share id and words with the one that stays go too, unless they have no words;
+    of such rows with different texts the one with the smallest hash stays."""
+    blank = F.when(F.col("n") == 0, F.col("hash")).alias("blank")
+    kept = join(docs, similarity, size).filter("kept")
+    kept = kept.groupBy("doc_id", "key", blank).agg(F.min("hash").alias("hash"))
+    # a struct, as null ids equal each other in it, and as one key it serves the
+    # join and the choice behind it with the same shuffle
+    kept = kept.select(
+        F.struct("doc_id", "hash").alias("own_row"), F.col("blank").isNotNull().alias("own_blank")
     )
-    same = (
-        (keyed["__row"] == kept["own_row"])
-        & keyed["doc_id"].eqNullSafe(kept["own_id"])
-        & (keyed["__key"] == kept["own_key"])
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    keyed = docs.withColumn("__row", row)
+    found = keyed.join(kept, keyed["__row"] == kept["own_row"]).select(
+        *[keyed[c] for c in keyed.columns],
+        F.when(kept["own_blank"], F.monotonically_increasing_id()).otherwise(-1).alias("__nth"),
     )
-    # the join has dealt rows by __row, so this moves nothing more
-    once = keyed.join(kept, same, "left_semi").dropDuplicates(["__row", "doc_id", "__key", "__nth"])
-    return once.drop("__row", "__key", "__nth")
+    return found.dropDuplicates(["__row", "__nth"]).drop("__row", "__nth")

@@ -258,6 +258,15 @@ def test_one_of_each_class_stays(docs):
     assert sorted([(r.doc_id, r.text) for r in found.collect()], key=repr) == sorted(want, key=repr)
 
 
+def test_choice_shuffles_documents_once_and_without_python(docs):
+    found = ngram_join.keep_first(docs([(None, "a b"), (None, "A  b"), (None, ""), (None, "")]))
+    assert sorted(r.text for r in found.collect())[:2] == ["", ""]
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert plan.split("Initial Plan")[0].count("hashpartitioning(__row") <= 1
+
+
 def test_bands_reach_their_recall():
     bands = Bands.choose(0.8, 0.999)
     assert 1 - (1 - 0.8**bands.rows) ** bands.count >= 0.999
