@@ -487,5 +487,7 @@ def full_job(spark, sf_dir):
         land_csv(df, f"{root}/landing/{LANDING_KEYS[name]}")
     warehouse = ParquetWarehouse(spark, f"{root}/warehouse")
     raw = read_tables(spark, f"{root}/landing")
-    run_job(spark, raw, warehouse, work=f"{root}/work", fail_on=(), stage_raw=True)
+    run_job(
+        spark, raw, warehouse, f"{root}/work", conformed=False, fail_on=(), stage_raw=True
+    )
     return stacked([_count(name, warehouse.read(TABLES[name])) for name in TABLES])

@@ -17,7 +17,7 @@ def main() -> None:
     parser.add_argument("--work", help="shared folder for intermediates")
     parser.add_argument("--infer", action="store_true", help="infer column types")
     parser.add_argument("--item-grain", choices=["order", "item"], default="order")
-    parser.add_argument("--conformed", action="store_true", help="reviews from the dimension")
+    parser.add_argument("--raw-reviews", action="store_true", help="the fact also uses reviews without dates")
     parser.add_argument("--fail-on", nargs="*", choices=RULES, default=list(RULES))
     parser.add_argument("--s3a-package", help="coordinates of the S3A connector")
     args = parser.parse_args()
@@ -29,7 +29,7 @@ def main() -> None:
         ParquetWarehouse(spark, args.warehouse),
         work=args.work,
         item_grain=args.item_grain,
-        conformed=args.conformed,
+        conformed=not args.raw_reviews,
         fail_on=tuple(args.fail_on),
         stage_raw=True,
     )

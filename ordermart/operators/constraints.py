@@ -53,6 +53,8 @@ def _converted(field: T.StructField, source: T.DataType) -> Column:
     if isinstance(target, T.TimestampType) and isinstance(source, T.StringType):
         return parse_timestamp(value, source)
     if isinstance(source, T.NumericType):
+        if type(target) in _WHOLE and not isinstance(source, T.IntegralType):
+            value = F.round(value)  # as the target does; a cast would truncate
         fits = _in_range(value, target)
         if fits is not None:
             return F.when(fits, value.cast(target))
@@ -68,7 +70,13 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
 
 
 def key_text(columns) -> Column:
-    return F.concat_ws("|", *[named(c).cast("string") for c in columns])
+    r"""A key's values with | between them. In a key of several columns | and \ within a
+    value follow a \ and a null is \N, so that different keys have different texts."""
+    values = [named(c).cast("string") for c in columns]
+    if len(values) == 1:
+        return F.coalesce(values[0], F.lit(""))
+    escaped = [F.regexp_replace(v, r"([|\\])", r"\\$1") for v in values]
+    return F.concat_ws("|", *[F.coalesce(v, F.lit(r"\N")) for v in escaped])
 
 
 def _rejects(df: DataFrame, table: Table, tests: list[tuple[str, Column]]) -> DataFrame:

@@ -36,25 +36,22 @@ def timed_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def located_customers(
-    customers: DataFrame, geolocation: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
-) -> DataFrame:
+def located_customers(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     """customer_id and zip code of the customers whose zip code is known, one
-    row per customer. Of the places only the key matters, so this is a semi-join."""
-    zips = fill_defaults(geolocation.select(F.col(GEO_ZIP).alias(ZIP))).distinct()
+    row per customer. Of the places only the key matters, so this is a semi-join; it
+    needs no distinct, behind which adaptive execution would not split a hot key."""
+    zips = fill_defaults(geolocation.select(F.col(GEO_ZIP).alias(ZIP)))
     filled = fill_defaults(customers.select("customer_id", ZIP))
-    located = lookup_join(filled, zips, ZIP, "left_semi", sizes)
+    located = filled.join(zips, ZIP, "left_semi")
     return located.groupBy("customer_id").agg(F.min(ZIP).alias("zip_code_prefix"))
 
 
-def sold_items(
-    items: DataFrame, sellers: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
-) -> DataFrame:
+def sold_items(items: DataFrame, sellers: DataFrame) -> DataFrame:
     """order_id and seller_id of each order's first item with a known seller.
     The seller is checked before the choice: the first item may lack one."""
-    known = fill_defaults(sellers.select("seller_id")).distinct()
+    known = fill_defaults(sellers.select("seller_id"))
     filled = fill_defaults(items.select("order_id", "order_item_id", "seller_id"))
-    sold = lookup_join(filled, known, "seller_id", "left_semi", sizes)
+    sold = filled.join(known, "seller_id", "left_semi")
     return keep_one(sold, ["order_id"], ["order_item_id"]).drop("order_item_id")
 
 
@@ -73,7 +70,7 @@ def order_fact(
             "order_id", "customer_id", "order_status", *ORDER_TIMES
         )
     )
-    customers = located_customers(raw["customers"], raw["geolocation"], sizes)
+    customers = located_customers(raw["customers"], raw["geolocation"])
     placed = keep_one(
         lookup_join(orders, customers, "customer_id", "inner", sizes), ["order_id"]
     )
@@ -90,7 +87,7 @@ def order_fact(
         ["order_id"],
         ["payment_sequential"],
     )
-    items = sold_items(raw["order_items"], raw["sellers"], sizes)
+    items = sold_items(raw["order_items"], raw["sellers"])
     if reviews is None:
         reviews = raw["order_reviews"]
     reviewed = (

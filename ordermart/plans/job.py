@@ -134,7 +134,7 @@ def run_job(
     warehouse,
     work: str | None = None,
     item_grain: str = "order",
-    conformed: bool = False,
+    conformed: bool = True,
     fail_on: tuple[str, ...] = RULES,
     sizes: JoinSizes = DEFAULT_SIZES,
     stage_raw: bool = False,
@@ -146,6 +146,9 @@ def run_job(
     are parsed once into columnar files that all later scans read. Tables with a
     MALFORMED column always are, and what their scan could not read is a violation.
 
+    The fact takes its reviews from the dimension; with `conformed=False` from the raw
+    ones, whose unreadable dates then break the fact's reference to the dimension.
+
     Raises RuleViolation before the load if rows break a rule in `fail_on`, and
     after it if a written key is missing from the target.
     """
@@ -182,8 +185,8 @@ def run_job(
         raise RuleViolation(f"{broken}; see {work}/violations")
 
     order = load_order()
-    load_warehouse(warehouse, star, order)
-    audits = [key_audit(star[n], warehouse.read(TABLES[n]), TABLES[n]) for n in order]
+    load_warehouse(warehouse, star, order, sizes)
+    audits = [key_audit(star[n], warehouse.read(TABLES[n]), TABLES[n], sizes) for n in order]
     audit = _written(reduce(DataFrame.unionByName, audits), f"{work}/audit")
     missing = audit.filter("missing > 0").select("table", "missing").collect()
     if missing:

@@ -119,15 +119,22 @@ def new_rows(
     return _by_key(df, loaded_keys(df, target, key, sizes), key, "left_anti")
 
 
-def load_table(warehouse, table: Table, df: DataFrame) -> None:
+def load_table(
+    warehouse, table: Table, df: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
+) -> None:
     """Append the rows that are new."""
-    warehouse.append(table, new_rows(df, warehouse.read(table), table.key))
+    warehouse.append(table, new_rows(df, warehouse.read(table), table.key, sizes))
 
 
-def load_warehouse(warehouse, frames: Mapping[str, DataFrame], order: list[str]) -> None:
+def load_warehouse(
+    warehouse,
+    frames: Mapping[str, DataFrame],
+    order: list[str],
+    sizes: JoinSizes = DEFAULT_SIZES,
+) -> None:
     """Load the tables one after the other, referenced tables first."""
     for name in order:
-        load_table(warehouse, TABLES[name], frames[name])
+        load_table(warehouse, TABLES[name], frames[name], sizes)
 
 
 def key_audit(

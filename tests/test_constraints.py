@@ -2,10 +2,12 @@ import decimal
 
 import pytest
 from conftest import DAY, rows
+from pyspark.sql import functions as F
 
 from ordermart.operators.constraints import (
     conform,
     fk_violations,
+    key_text,
     length_rejects,
     pk_violations,
     schema_frame,
@@ -44,6 +46,24 @@ def test_values_a_type_cannot_hold(spark, settings, ansi):
     assert kept["o4"].order_item_id == -32768
 
 
+def test_different_keys_have_different_texts(spark):
+    keys = [("a", None), (None, "a"), ("a|b", "c"), ("a", "b|c"), ("\\N", "a"), ("a\\", "|"), ("", "")]
+    df = spark.createDataFrame(keys, "a string, b string")
+    found = [r.t for r in df.select(key_text(["a", "b"]).alias("t")).collect()]
+    assert found[:3] == ["a|\\N", "\\N|a", "a\\|b|c"]
+    assert len(set(found)) == len(keys)
+
+
+def test_fractions_round_to_whole_numbers(spark):
+    names = TABLES["Order_Items"].columns.names
+    given = [3.7, -3.5, 32767.4, 32767.5, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in given], "order_item_id double")
+    df = df.select("order_item_id", *[F.lit(None).alias(c) for c in names if c != "order_item_id"])
+    typed = conform(df, TABLES["Order_Items"])
+    assert [r.order_item_id for r in typed.collect()] == [4, -4, 32767, None, None, None]
+    assert type_rejects(df, TABLES["Order_Items"]).filter("column = 'order_item_id'").count() == 2
+
+
 def test_text_in_a_number_column(spark):
     df = spark.createDataFrame(
         [("r1", "o", "x", None, None, "bad", "2018-01-01 00:00:00"),
@@ -77,7 +97,7 @@ def test_primary_keys(spark):
         [("a", 1), ("a", 2), ("b", 1), ("b", 1), (None, 1)], "order_id string, order_item_id int"
     )
     assert rows(pk_violations(df, TABLES["Order_Items"])) == [
-        ("Order_Items", "1", 1), ("Order_Items", "b|1", 2),
+        ("Order_Items", "\\N|1", 1), ("Order_Items", "b|1", 2),
     ]
     assert rows(pk_violations(df, TABLES["Orders"]).select("key", "n")) == [
         ("", 1), ("a", 2), ("b", 2),
