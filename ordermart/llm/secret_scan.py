@@ -3,8 +3,10 @@
 Three fixed patterns find the base spans. What they find is a labelled sample of
 credentials; from its prefix tree, states whose futures don't differ significantly
 (Hoeffding's bound) are merged into a probabilistic automaton. Every run of
-credential letters is then a candidate, scored by how much likelier the automaton
-makes it than the letter pairs of the corpus's ordinary runs do.
+credential letters is then a candidate, and so is every part of it between signs, with
+the signs beside it or without. Each is scored by how much likelier the automaton makes
+it than the letter pairs of the corpus's ordinary runs do; of candidates that overlap
+those are reported whose margins add up to most.
 
 Null and empty texts have no spans; texts are scanned whole. Repeated rows are
 scanned each for itself, and an empty table gives no rows. Without any base span in
@@ -21,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +41,12 @@ KINDS = ["assign", "access", "hex"]
 #: Words without one of which ASSIGN can't match, in lower case.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A run of credential letters, from SHORTEST on, is a candidate.
-SHORTEST = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: A candidate has as many letters as the shortest secret that ASSIGN finds.
+SHORTEST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+SIGN = re.compile(r"[+/_.=-]")
+#: Runs up to this length are remembered with their spans, so many of them at most.
+KNOWN_LETTERS, KNOWN_RUNS = 64, 200_000
 #: Letters that a pair may hold besides the run's start and end.
 EDGE = "\n"
 
@@ -202,6 +208,36 @@ class Automaton:
         return total + math.log(max(s.ends, 0.5) / (s.total + 0.5))
 
 
+class Steps:
+    """An automaton's logarithms, made ready to read a run letter by letter. `share`: the
+    kind's share of the examples."""
+
+    def __init__(self, share: float, automaton: Automaton):
+        self.share = math.log(share)
+        self.letters = automaton.alphabet.letters
+        self.start = automaton.alphabet.start
+        #: letters of a candidate that are counted, to know when it may end
+        self.count = max(SHORTEST, len(self.start))
+        self.next = [
+            {
+                c: (math.log(s.counts[c] / s.total) + (automaton.each if c == ANY else 0.0), to)
+                for c, to in s.next.items()
+            }
+            for s in automaton.states
+        ]
+        self.end = [math.log(max(s.ends, 0.5) / (s.total + 0.5)) for s in automaton.states]
+        signs = {c for s in automaton.states for c in s.next if c != ANY}
+        spelt = re.escape("".join(sorted(self.letters | signs | set(self.start))))
+        #: what any candidate of this kind consists of
+        self.spelt = re.compile(f"[{spelt}]{{{SHORTEST},}}")
+
+    def step(self, state: int, read: int, letter: str) -> tuple[float, int] | None:
+        """Logarithm and next state of a letter after `read` others, or None."""
+        if read < len(self.start):
+            return self.next[state].get(letter) if letter == self.start[read] else None
+        return self.next[state].get(ANY if letter in self.letters else letter)
+
+
 @dataclass
 class Formats:
     """An automaton for each kind with its share of the examples, and the logarithms of
@@ -211,6 +247,10 @@ class Formats:
     pairs: dict[str, float]
     unseen: float
 
+    def __post_init__(self):
+        self.steps = [Steps(share, a) for share, a in self.automata]
+        self.known: dict[float, dict[str, list[tuple[int, int]]]] = {}
+
     def margin(self, word: str) -> float:
         """Log-likelihood ratio of credential to ordinary run."""
         best = max(
@@ -222,6 +262,70 @@ class Formats:
         run = EDGE + word + EDGE
         return best - sum(self.pairs.get(run[i : i + 2], self.unseen) for i in range(len(run) - 1))
 
+    def spans(self, run: str, least_margin: float) -> list[tuple[int, int]]:
+        """Places in a run of the candidates that are reported."""
+        known = self.known.setdefault(least_margin, {})
+        found = known.get(run)
+        if found is None:
+            find = self.parse if SIGN.search(run) else self.whole
+            found = find(run, least_margin) if any(s.spelt.search(run) for s in self.steps) else []
+            if len(run) <= KNOWN_LETTERS:
+                if len(known) >= KNOWN_RUNS:
+                    known.clear()
+                known[run] = found
+        return found
+
+    def whole(self, run: str, least_margin: float) -> list[tuple[int, int]]:
+        """The same of a run without signs, which is its only candidate."""
+        if not any(s.spelt.fullmatch(run) for s in self.steps):
+            return []
+        return [(0, len(run))] if self.margin(run) >= least_margin else []
+
+    def parse(self, run: str, least_margin: float) -> list[tuple[int, int]]:
+        """The candidates without overlap whose margins above `least_margin` add up to
+        most. Of all beginnings that bring an automaton to the same state only the best
+        can be part of it, so that the work grows with the run, not its pairs of signs."""
+        cuts = {0, len(run)}
+        for m in SIGN.finditer(run):
+            cuts |= {m.start(), m.end()}
+        best = 0.0  # sum of the run so far
+        last: tuple[int, int] | None = None  # and its last candidate
+        chosen: dict[int, tuple[int, int] | None] = {}  # the last candidate up to each cut
+        # (kind, state, letters read up to the count) -> sum so far, beginning
+        paths: dict[tuple[int, int, int], tuple[float, int]] = {}
+        for at in range(len(run) + 1):
+            if at in cuts:
+                edge = self.pairs.get(run[at - 1 : at] + EDGE, self.unseen)
+                for (k, state, read), (total, start) in paths.items():
+                    if read == self.steps[k].count:
+                        total += self.steps[k].end[state] - edge - least_margin
+                        # a margin that is just enough is enough
+                        if total > best or (total == best and last == chosen[start]):
+                            best, last = total, (start, at)
+                chosen[at] = last
+                edge = self.pairs.get(EDGE + run[at : at + 1], self.unseen)
+                for k, s in enumerate(self.steps):
+                    paths[k, 0, 0] = (best + s.share - edge, at)
+            if not paths or at == len(run):
+                continue
+            pair = self.pairs.get(run[at - 1 : at + 1], self.unseen) if at else 0.0
+            moved: dict[tuple[int, int, int], tuple[float, int]] = {}
+            for (k, state, read), (total, start) in paths.items():
+                s = self.steps[k]
+                step = s.step(state, read, run[at])
+                if step is None:
+                    continue
+                key = (k, step[1], min(read + 1, s.count))
+                total += step[0] - (pair if read else 0.0)
+                if key not in moved or total > moved[key][0]:
+                    moved[key] = (total, start)
+            paths = moved
+        found = []
+        while last is not None:
+            found.append(last)
+            last = chosen[last[0]]
+        return found[::-1]
+
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
     """Runs that touch no base span."""
@@ -233,19 +337,45 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
             yield m.start(), m.end()
 
 
+def format_spans(
+    text: str, base: list[Span], formats: Formats | None, least_margin: float
+) -> list[tuple[int, int]]:
+    """Places of the candidates that are reported."""
+    if formats is None:
+        return []
+    found = []
+    for start, end in candidates(text, base) if base else map(re.Match.span, CANDIDATE.finditer(text)):
+        more = formats.spans(text[start:end], least_margin)
+        if more:
+            found += [(start + s, start + e) for s, e in more]
+    return found
+
+
+def pairs_of(runs: list[str]) -> dict[str, int]:
+    """Counts of letter pairs, with each run's start and end."""
+    # an edge between two runs is the end of one and the start of the next
+    if not runs:
+        return {}
+    codes = np.frombuffer(EDGE.join(["", *runs, ""]).encode(), np.uint8).astype(np.int32)
+    counts = np.bincount(codes[:-1] * 128 + codes[1:])
+    return {chr(i // 128) + chr(i % 128): int(counts[i]) for i in np.flatnonzero(counts)}
+
+
 def learn(docs: DataFrame, examples: int = 600, alpha: float = 0.05) -> Formats | None:
     """Formats from all of the corpus. Of each kind the `examples` distinct credentials
     of smallest hash are the labelled sample; pair counts cover every ordinary run."""
     rows = id_and_text(docs)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found, pairs = set(), Counter()
+        found, ordinary = set(), []
         for t in texts(batch):
             base = base_spans(t)
             found |= {(s[2], credential(t, s)) for s in base}
-            for start, end in candidates(t, base):
-                w = EDGE + t[start:end] + EDGE
-                pairs.update([w[i : i + 2] for i in range(len(w) - 1)])
+            if base:
+                ordinary += [t[start:end] for start, end in candidates(t, base)]
+            else:
+                ordinary += CANDIDATE.findall(t)
+        pairs = pairs_of(ordinary)
         kinds, words = zip(*sorted(found)) if found else ((), ())
         return {
             "kind": [*kinds, *["pair"] * len(pairs)],
@@ -286,13 +416,8 @@ def scan(docs: DataFrame, formats: Formats | None, least_margin: float = 5.0) ->
     def run(batch: pa.RecordBatch) -> dict:
         bases, everything = [], []
         for t in texts(batch):
-            base, more = base_spans(t), []
-            if formats is not None:
-                more = [
-                    (s, e, "format")
-                    for s, e in candidates(t, base)
-                    if formats.margin(t[s:e]) >= least_margin
-                ]
+            base = base_spans(t)
+            more = [(s, e, "format") for s, e in format_spans(t, base, formats, least_margin)]
             bases.append(base)
             everything.append(
                 sorted(base + more, key=lambda s: (s[0], [*KINDS, "format"].index(s[2])))
@@ -331,10 +456,7 @@ def redact(
             return t
         base = base_spans(t)
         spans = [(s, e) for s, e, _ in base]
-        if formats is not None:
-            spans += [
-                (s, e) for s, e in candidates(t, base) if formats.margin(t[s:e]) >= least_margin
-            ]
+        spans += format_spans(t, base, formats, least_margin)
         out, at = [], 0
         for s, e in sorted(spans):
             if s >= at:

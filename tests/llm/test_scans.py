@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -73,6 +75,69 @@ def test_learnt_formats_find_bare_credentials(docs):
     assert all(found[2000 + i] == "" for i in range(20))
 
 
+@pytest.fixture(scope="module")
+def hex_formats():
+    """Formats of keys of 8 to 18 letters, and pairs of some prose."""
+    rng = random.Random(8)
+    words = [hex_key(rng, n) for n in (8, 11, 15, 18) for _ in range(100)]
+    pairs = Counter()
+    prose = "see https://host/path auth=value ordinary prose without any secret. internationalization user-name".split()
+    for w in prose:
+        w = "\n" + w + "\n"
+        pairs.update(w[i : i + 2] for i in range(len(w) - 1))
+    after = Counter()
+    for p, n in pairs.items():
+        after[p[0]] += n
+    pairs = {p: math.log((n + 1) / (after[p[0]] + 68)) for p, n in pairs.items()}
+    return secret_scan.Formats([(1.0, secret_scan.Automaton(words))], pairs, math.log(1 / 68))
+
+
+def hex_key(rng, n):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 11, 15, 18])
+@pytest.mark.parametrize("around", ["see {}.", "auth={} x", "https://host/{}", "user-{}-name", "key_{}", "({})", "{}/{}"])
+def test_bare_credentials_beside_signs(hex_formats, n, around):
+    rng = random.Random(n)
+    for _ in range(20):
+        key = hex_key(rng, n)
+        text = around.format(key, key)
+        found = secret_scan.format_spans(text, secret_scan.base_spans(text), hex_formats, 5.0)
+        assert [text[s:e] for s, e in found] == [key] * around.count("{}")
+
+
+def test_candidates_by_brute_force():
+    """The best choice among all parts between signs, each scored as a word of its own."""
+    rng = random.Random(3)
+    letters = "ab7.=/-"
+    words = ["K" + "".join(rng.choice(letters) for _ in range(rng.randint(6, 9))) for _ in range(300)]
+    more = ["".join(rng.choice("ab7") for _ in range(rng.randint(6, 12))) for _ in range(300)]
+    pairs = {a + b: math.log(rng.uniform(0.001, 0.2)) for a in letters + "K\n" for b in letters + "K\n"}
+    automata = [(0.5, secret_scan.Automaton(words)), (0.5, secret_scan.Automaton(more))]
+    formats = secret_scan.Formats(automata, pairs, math.log(1 / 68))
+    some = 0
+    for _ in range(300):
+        run = "".join(rng.choice(letters + "K") for _ in range(rng.randint(6, 24)))
+        cuts = {0, len(run)} | {j for i, c in enumerate(run) if c in "+/_.=-" for j in (i, i + 1)}
+        best = [0.0] * (len(run) + 1)
+        for e in range(1, len(run) + 1):
+            parts = [s for s in cuts if e in cuts and e - s >= 6]
+            best[e] = max([best[e - 1], *(best[s] + formats.margin(run[s:e]) - 1.0 for s in parts)])
+        found = formats.spans(run, 1.0)
+        assert all({s, e} <= cuts and formats.margin(run[s:e]) > 1.0 for s, e in found)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        assert math.isclose(sum(formats.margin(run[s:e]) - 1.0 for s, e in found), best[-1], abs_tol=1e-9)
+        some += len(found)
+    assert some > 50
+
+
+def test_pairs_are_those_of_each_run():
+    runs = ["abcabc", "a.b-c=", "abcabc"]
+    want = Counter(p for r in runs for p in map("".join, zip("\n" + r, r + "\n")))
+    assert secret_scan.pairs_of(runs) == want and secret_scan.pairs_of([]) == {}
+
+
 def test_automaton_tells_formats():
     rng = random.Random(2)
     words = ["KEY" + "".join(rng.choice("0123456789") for _ in range(rng.choice([8, 12]))) for _ in range(200)]
