@@ -6,7 +6,8 @@ credentials; from its prefix tree, states whose futures don't differ significant
 credential letters is then a candidate, and so is every part of it between signs, with
 the signs beside it or without. Each is scored by how much likelier the automaton makes
 it than the letter pairs of the corpus's ordinary runs do; of candidates that overlap
-those are reported whose margins add up to most.
+those are reported whose margins add up to most. What stands beside a base span in the
+same run is a candidate too, and so is a part that holds the span.
 
 Null and empty texts have no spans; texts are scanned whole. Repeated rows are
 scanned each for itself, and an empty table gives no rows. Without any base span in
@@ -20,7 +21,7 @@ import math
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -281,20 +282,35 @@ class Formats:
             return []
         return [(0, len(run))] if self.margin(run) >= least_margin else []
 
-    def parse(self, run: str, least_margin: float) -> list[tuple[int, int]]:
+    def parse(
+        self, run: str, least_margin: float, base: Sequence[tuple[int, int, float]] = ()
+    ) -> list[tuple[int, int]]:
         """The candidates without overlap whose margins above `least_margin` add up to
         most. Of all beginnings that bring an automaton to the same state only the best
-        can be part of it, so that the work grows with the run, not its pairs of signs."""
+        can be part of it, so that the work grows with the run, not its pairs of signs.
+        `base`: places of base spans in the run with the margins of their credentials;
+        a candidate lies beside such a span or holds it and does better."""
         cuts = {0, len(run)}
         for m in SIGN.finditer(run):
             cuts |= {m.start(), m.end()}
+        cuts |= {e for s in base for e in s[:2]}
+        for s, e, _ in base:
+            cuts -= set(range(s + 1, e))
+        # after overlapping base spans are tied, each one ends at a cut
+        ends = {e: (s, more) for s, e, more in base}
         best = 0.0  # sum of the run so far
         last: tuple[int, int] | None = None  # and its last candidate
         chosen: dict[int, tuple[int, int] | None] = {}  # the last candidate up to each cut
+        sums: dict[int, float] = {}
         # (kind, state, letters read up to the count) -> sum so far, beginning
         paths: dict[tuple[int, int, int], tuple[float, int]] = {}
         for at in range(len(run) + 1):
             if at in cuts:
+                if at in ends:
+                    start, more = ends[at]
+                    before = sums[start] + more
+                    if before >= best:
+                        best, last = before, chosen[start]
                 edge = self.pairs.get(run[at - 1 : at] + EDGE, self.unseen)
                 for (k, state, read), (total, start) in paths.items():
                     if read == self.steps[k].count:
@@ -302,7 +318,7 @@ class Formats:
                         # a margin that is just enough is enough
                         if total > best or (total == best and last == chosen[start]):
                             best, last = total, (start, at)
-                chosen[at] = last
+                chosen[at], sums[at] = last, best
                 edge = self.pairs.get(EDGE + run[at : at + 1], self.unseen)
                 for k, s in enumerate(self.steps):
                     paths[k, 0, 0] = (best + s.share - edge, at)
@@ -327,14 +343,42 @@ class Formats:
         return found[::-1]
 
 
-def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
-    """Runs that touch no base span."""
+def touched(run: tuple[int, int], base: list[Span]) -> list[Span]:
+    """The base spans that touch a run, where they overlap as one of the first's kind."""
+    tied: list[Span] = []
+    for s, e, kind in base:
+        if s < run[1] and e > run[0]:
+            if tied and s < tied[-1][1]:
+                tied[-1] = (tied[-1][0], max(e, tied[-1][1]), tied[-1][2])
+            else:
+                tied.append((s, e, kind))
+    return tied
+
+
+def runs(text: str, base: list[Span]) -> Iterator[tuple[int, int, list[Span]]]:
+    """Runs of candidate letters with the base spans that touch each."""
     at = 0
     for m in CANDIDATE.finditer(text):
         while at < len(base) and base[at][1] <= m.start():
             at += 1
-        if not any(s < m.end() and e > m.start() for s, e, _ in base[at : at + 8]):
-            yield m.start(), m.end()
+        # by start, so that the first one behind the run ends the search
+        end = at
+        while end < len(base) and base[end][0] < m.end():
+            end += 1
+        yield m.start(), m.end(), touched(m.span(), base[at:end])
+
+
+def ordinary_runs(text: str, base: list[Span]) -> list[str]:
+    """The runs, and what base spans leave of a run."""
+    if not base:
+        return CANDIDATE.findall(text)
+    found = []
+    for start, end, spans in runs(text, base):
+        for s, e, _ in [*spans, (end, end, "")]:
+            if s - start >= SHORTEST:
+                found.append(text[start:s])
+            start = max(start, e)
+    return found
 
 
 def format_spans(
@@ -343,11 +387,28 @@ def format_spans(
     """Places of the candidates that are reported."""
     if formats is None:
         return []
+    if not base:
+        found = []
+        for m in CANDIDATE.finditer(text):
+            more = formats.spans(m[0], least_margin)
+            if more:
+                found += [(m.start() + s, m.start() + e) for s, e in more]
+        return found
     found = []
-    for start, end in candidates(text, base) if base else map(re.Match.span, CANDIDATE.finditer(text)):
-        more = formats.spans(text[start:end], least_margin)
-        if more:
-            found += [(start + s, start + e) for s, e in more]
+    for start, end, spans in runs(text, base):
+        run, inside = text[start:end], []
+        for s, e, kind in spans:
+            # an assignment's secret ends it; its word may stand in a run before
+            margin = formats.margin(credential(text, (s, e, kind))) if e <= end else 0.0
+            inside.append((max(s, start) - start, min(e, end) - start, max(margin, 0.0)))
+        if not inside:
+            more = formats.spans(run, least_margin)
+        elif inside[0][:2] == (0, len(run)):
+            more = []
+        else:
+            found_in = formats.parse(run, least_margin, inside)
+            more = [p for p in found_in if p not in {i[:2] for i in inside}]
+        found += [(start + s, start + e) for s, e in more]
     return found
 
 
@@ -371,10 +432,7 @@ def learn(docs: DataFrame, examples: int = 600, alpha: float = 0.05) -> Formats
         for t in texts(batch):
             base = base_spans(t)
             found |= {(s[2], credential(t, s)) for s in base}
-            if base:
-                ordinary += [t[start:end] for start, end in candidates(t, base)]
-            else:
-                ordinary += CANDIDATE.findall(t)
+            ordinary += ordinary_runs(t, base)
         pairs = pairs_of(ordinary)
         kinds, words = zip(*sorted(found)) if found else ((), ())
         return {
