@@ -3,9 +3,9 @@
 Each distinct text gets MinHash values in bands; rows in a band and bands are chosen
 for a target recall at the threshold. Texts that share a band hash are candidates.
 They are tied into clusters by one link for each member of a band, so the full n-gram
-sets travel once, to their cluster, where the pairs that share a band are verified
-exactly. A large cluster is split into tiles of bounded size; tiles hand on counts of
-links and a spanning forest, never pairs, and the forests make the classes.
+sets travel once, to their cluster, where all pairs are compared exactly. A large
+cluster is split into tiles of bounded size; tiles hand on counts of links and a
+spanning forest, never pairs, and the forests make the classes.
 
 Texts with the same words in the same order are one node, however many there are.
 Letter case and white space don't matter. Null texts, empty ones and those without
@@ -100,14 +100,6 @@ def jaccard(sets: list[np.ndarray]) -> np.ndarray:
     return both / (sizes[:, None] + sizes[None, :] - both)
 
 
-def share_band(bands: np.ndarray) -> np.ndarray:
-    """Which rows have a band hash in common."""
-    found = np.zeros((len(bands), len(bands)), dtype=bool)
-    for j in range(bands.shape[1]):
-        found |= bands[:, j, None] == bands[None, :, j]
-    return found
-
-
 def verify(rows: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, ...] | None:
     """Links within a tile, or between two: nodes, their forest, weights of links."""
     node, first = np.unique(rows.column("node").to_numpy(), return_index=True)
@@ -115,14 +107,13 @@ def verify(rows: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, ...] |
         return None
     rows = rows.take(pa.array(first))  # a repeated row brings its node again
     sets = lists(rows.column("shingles"))
-    linked = share_band(np.stack(lists(rows.column("bands"))))
+    linked = jaccard(sets) >= similarity
     np.fill_diagonal(linked, False)
     if rows.column("a")[0].as_py() != rows.column("b")[0].as_py():
         part = rows.column("part").to_numpy()
         linked &= part[:, None] != part[None, :]
     if not linked.any():
         return None
-    linked &= jaccard(sets) >= similarity
     some = np.flatnonzero(linked.any(axis=1))
     copies = rows.column("copies").to_numpy()
     return node[some], node[forest(linked)[some]], (linked @ copies)[some]
@@ -149,14 +140,13 @@ def links_of(docs: DataFrame, members: DataFrame, size: int, similarity: float)
         rows = batch.take(pa.array(own, pa.int64()))
         return {
             "shingles": [shingle_set(plain[i], size).view(np.int64) for i in own],
-            **{n: rows.column(n) for n in ("node", "cluster", "part", "tiles", "copies", "bands")},
+            **{n: rows.column(n) for n in ("node", "cluster", "part", "tiles", "copies")},
         }
 
     found = map_slices(
         found.drop("doc_id", "own_id", "n"),
         sets,
-        "node long, cluster long, part int, tiles int, copies long, "
-        "bands array<long>, shingles array<long>",
+        "node long, cluster long, part int, tiles int, copies long, shingles array<long>",
     )
     found = (
         found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -199,7 +189,7 @@ def join(
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = saved(nodes)
-    members = saved(nodes.join(clusters(nodes), "node"))
+    members = saved(nodes.drop("bands").join(clusters(nodes), "node"))
     parts = saved(links_of(docs, members, size, similarity))
     roots = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))

@@ -241,6 +241,18 @@ def test_large_group_of_near_copies_is_split(docs):
     assert {r.doc_id: r.class_id for r in found} == {i: c for i, c, _ in brute}
 
 
+def test_no_link_of_a_large_group_near_the_threshold_is_lost(docs):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    given = []
+    for i in range(700):
+        own = list(words)
+        for _ in range(3):  # two texts have about 0.82
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        given.append((i, " ".join(own)))
+    check_near(docs, given)
+
+
 def test_near_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     found = QUERIES["op3_ngram_join"](spark, SF).collect()
