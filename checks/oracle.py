@@ -255,6 +255,91 @@ def _fk(table: str, column: str, parent: str, parent_key: str) -> str:
     GROUP BY {column}"""
 
 
+# The lines of checks/standins.py, and what can't be read of them.
+_SPLIT = (
+    "l_orderkey % 19 = 0 AND l_linenumber = 1 AND l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0 "
+    "AND l_orderkey % 13 <> 0 AND l_orderkey % 17 <> 0"
+)
+_QUANTITY = "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)"
+_PRICE = "CAST(l_extendedprice AS VARCHAR)"
+_LINE = f"""
+    l_orderkey || ',' || CASE WHEN l_orderkey % 7 = 0 THEN 'x' ELSE '' END || l_linenumber || ','
+    || l_returnflag || CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE
+        ',' || CASE WHEN l_quantity <= 45 THEN {_QUANTITY} ELSE '' END || ','
+        || CASE WHEN l_orderkey % 17 = 0 THEN 'R$ 5' ELSE {_PRICE} END END
+    || CASE WHEN l_orderkey % 11 = 0 THEN ',more' ELSE '' END"""
+_BAD_CELLS = """
+    SELECT 'payment_sequential' AS "column", 'x' || l_linenumber AS text
+    FROM lineitem WHERE l_orderkey % 7 = 0
+    UNION ALL
+    SELECT 'payment_value', 'R$ 5' FROM lineitem
+    WHERE l_orderkey % 17 = 0 AND l_orderkey % 13 <> 0
+    UNION ALL
+    SELECT 'payment_installments', 'more' FROM lineitem
+    WHERE l_orderkey % 13 = 0 AND l_orderkey % 11 = 0"""
+_BAD_ROWS = f"""
+    SELECT NULL AS "column", {_LINE} AS text FROM lineitem
+    WHERE l_orderkey % 11 = 0 OR l_orderkey % 13 = 0
+    UNION ALL
+    SELECT NULL, l_orderkey || ',' || l_linenumber || ',"' || l_returnflag FROM lineitem
+    WHERE {_SPLIT}
+    UNION ALL
+    SELECT NULL, l_returnflag || '",' || {_QUANTITY} || ',' || {_PRICE} FROM lineitem
+    WHERE {_SPLIT}"""
+
+
+def _type_counts(table: str) -> str:
+    """Cells of each column by the types that can hold them, from their text."""
+    parts = []
+    for f in RAW[table]:
+        c = f.name
+        shown = f"CAST({c} AS VARCHAR)"
+        if f.dataType.simpleString() == "timestamp_ntz":
+            shown = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+        whole = "regexp_full_match(x, '[+-]?[0-9]+')"
+        number = "regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+        time = "regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?')"
+        parts.append(f"""
+            SELECT '{table}' AS "table", '{c}' AS "column", count(x) AS cells,
+                   count(*) FILTER ({whole} AND TRY_CAST(x AS INTEGER) IS NOT NULL) AS "int",
+                   count(*) FILTER ({whole} AND TRY_CAST(x AS BIGINT) IS NOT NULL) AS "bigint",
+                   count(*) FILTER ({number}) AS "double",
+                   count(*) FILTER (lower(x) IN ('true', 'false')) AS "boolean",
+                   count(*) FILTER (length(x) = 10 AND {time} AND TRY_CAST(x AS DATE) IS NOT NULL)
+                       AS "date",
+                   count(*) FILTER ({time} AND TRY_CAST(x AS TIMESTAMP) IS NOT NULL)
+                       AS timestamp_ntz
+            FROM (SELECT nullif({shown}, '') AS x FROM r_{table})""")
+    return " UNION ALL ".join(parts)
+
+
+def _target(table: str) -> str:
+    """A table's cells as its columns hold them; decimals shown as doubles."""
+    cells = []
+    for f in TABLES[table].columns:
+        kind = f.dataType.simpleString()
+        if kind.startswith("decimal"):
+            cells.append(f"CAST(TRY_CAST({f.name} AS {kind}) AS DOUBLE) AS {f.name}")
+        elif kind == "smallint":
+            cells.append(f"TRY_CAST({f.name} AS SMALLINT) AS {f.name}")
+        else:
+            cells.append(f.name)
+    return f"SELECT {', '.join(cells)} FROM d_{table}"
+
+
+def _audit(table: str, month: str, changed: str) -> str:
+    return f"""
+        SELECT '{table}' AS "table", month, count(*) AS written, CAST(sum(t) AS BIGINT) AS in_target,
+               count(*) FILTER (t = 0) AS missing, count(*) FILTER (t = 2) AS surplus,
+               count(*) FILTER (t = 1 AND {changed}) AS changed,
+               count(*) FILTER (t <> 1 OR {changed}) = 0 AS same
+        FROM (SELECT *, {month} AS month, CAST(order_id AS BIGINT) AS o,
+                     CASE WHEN CAST(order_id AS BIGINT) % 5 = 0 THEN 0
+                          WHEN CAST(order_id AS BIGINT) % 7 = 0 THEN 2 ELSE 1 END AS t
+              FROM d_{table})
+        GROUP BY month"""
+
+
 def oracle_sql() -> dict[str, str]:
     row_counts = " UNION ALL ".join(
         f"SELECT '{name}' AS \"table\", count(*) AS n FROM d_{name}" for name in _ALL
@@ -442,4 +527,40 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * FROM c_customers ORDER BY customer_id LIMIT 10"
         ),
         "full_job": _with(row_counts, *_DIMS),
+        "raw_type_rejects": f"SELECT 'order_payments' AS \"table\", * FROM ({_BAD_CELLS})",
+        "malformed_rows": f"SELECT 'order_payments' AS \"table\", * FROM ({_BAD_ROWS})",
+        "inferred_rejects": f"""
+            {_BAD_CELLS} UNION ALL {_BAD_ROWS} UNION ALL
+            SELECT 'order_id', l_returnflag || '"' FROM lineitem WHERE {_SPLIT}""",
+        "inferred_types": _with(" UNION ALL ".join(_type_counts(t) for t in RAW)),
+        "loaded_orders": _with(_target("Orders"), *_DIMS),
+        "loaded_items": _with(_target("Order_Items"), *_DIMS),
+        "loaded_products": _with(_target("Products"), *_DIMS),
+        "loaded_reviews": _with(_target("Order_Reviews"), *_DIMS),
+        "content_audit": _with(
+            _audit("Orders", "strftime(order_purchase_timestamp, '%Y-%m')", "o % 3 = 0 AND order_status <> 'other'")
+            + " UNION ALL "
+            + _audit("Order_Reviews", "CAST(NULL AS VARCHAR)", "o % 3 = 0 AND review_comment_title <> 'other'")
+            + " UNION ALL SELECT 'Customers', NULL, count(*), count(*), 0, 0, 0, true FROM d_Customers",
+            *_DIMS,
+        ),
+        "replace_orders": _with(
+            """SELECT * FROM d_Orders WHERE CAST(order_id AS BIGINT) % 4 <> 0
+            UNION ALL SELECT * REPLACE (
+                'redelivered' AS order_status,
+                CASE WHEN CAST(order_id AS BIGINT) % 8 = 0
+                     THEN order_purchase_timestamp + INTERVAL 40 DAY
+                     ELSE order_purchase_timestamp END AS order_purchase_timestamp)
+            FROM d_Orders WHERE CAST(order_id AS BIGINT) % 4 = 0
+            UNION ALL SELECT * REPLACE ('n' || order_id AS order_id)
+            FROM d_Orders WHERE CAST(order_id AS BIGINT) % 9 = 0""",
+            *_DIMS,
+        ),
+        "daily_jobs": _with(
+            f"""SELECT run, "table", CASE WHEN run = 1 AND "table" = 'Orders' THEN
+                (SELECT count(*) FROM d_Orders WHERE CAST(order_id AS BIGINT) % 2 = 0)
+                ELSE n END AS n
+            FROM ({row_counts}), (SELECT unnest([1, 2, 3])::INTEGER AS run)""",
+            *_DIMS,
+        ),
     }

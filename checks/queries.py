@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.standins import mixed_types, raw_tables, table
+from checks.standins import mixed_types, payment_lines, raw_tables, table
 from ordermart.functions.columns import (
     fill_defaults as fill,
 )
@@ -25,17 +25,27 @@ from ordermart.operators.dedup import keep_one
 from ordermart.operators.lookup import lookup_join
 from ordermart.plans import dimensions as dims
 from ordermart.plans import fact
-from ordermart.plans.job import dimensions, run_job
+from ordermart.plans.job import daily_job, dimensions, run_job
 from ordermart.schemas import LANDING_KEYS, RAW, TABLES, load_order
 from ordermart.session import shared_dir
-from ordermart.sinks.landing import has_landed, land_csv, land_files, land_json
+from ordermart.sinks.landing import (
+    has_landed,
+    land_csv,
+    land_files,
+    land_json,
+    landed_rejects,
+)
 from ordermart.sinks.warehouse import (
     ParquetWarehouse,
     key_audit,
     load_table,
     load_warehouse,
+    replace_rows,
 )
+from ordermart.sinks.warehouse import content_audit as audit_of
 from ordermart.sources import read_json, read_table, read_tables
+from ordermart.sources.files import MALFORMED, scan_rejects
+from ordermart.sources.inference import type_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +140,55 @@ def json_landing(spark, sf_dir):
     return read_json(spark, land_json(events, shared_dir(spark)), events.schema)
 
 
+# What scans can't read.
+
+
+def _broken_payments(spark, sf_dir) -> tuple[str, str]:
+    """A folder, and in it a payments file with broken cells and rows."""
+    root = shared_dir(spark)
+    path = f"{root}/source/order_payments.csv"
+    payment_lines(spark, sf_dir).write.text(path)
+    return root, path
+
+
+@query
+def raw_type_rejects(spark, sf_dir):
+    """Cells that their type can't hold, of a typed landing."""
+    root, path = _broken_payments(spark, sf_dir)
+    land_files(spark, {"order_payments": path}, root, parquet=True)
+    return landed_rejects(spark, root).filter("column IS NOT NULL")
+
+
+@query
+def malformed_rows(spark, sf_dir):
+    """Rows with too many or few cells, of a landing as text."""
+    root, path = _broken_payments(spark, sf_dir)
+    land_files(spark, {"order_payments": path}, root)
+    return landed_rejects(spark, root)
+
+
+@query
+def inferred_rejects(spark, sf_dir):
+    """Both, of a scan that finds the types itself."""
+    _, path = _broken_payments(spark, sf_dir)
+    read = read_table(spark, path, infer=True, malformed=MALFORMED, junk=0.2)
+    return scan_rejects(read, MALFORMED)
+
+
+@query
+def inferred_types(spark, sf_dir):
+    """How many cells of each raw column each type can hold."""
+    _, sources = _source_files(spark, sf_dir, RAW)
+    return stacked(
+        [
+            type_counts(
+                read_table(spark, path, multiline=name == "order_reviews")
+            ).select(F.lit(name).alias("table"), "*")
+            for name, path in sources.items()
+        ]
+    )
+
+
 # Quality.
 
 
@@ -170,7 +229,7 @@ def duplicate_report(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    return quality.quality_report(raw_tables(spark, sf_dir), shared_dir(spark))
+    return quality.quality_report(raw_tables(spark, sf_dir))
 
 
 @query
@@ -491,3 +550,101 @@ def full_job(spark, sf_dir):
         spark, raw, warehouse, f"{root}/work", conformed=False, fail_on=(), stage_raw=True
     )
     return stacked([_count(name, warehouse.read(TABLES[name])) for name in TABLES])
+
+
+# What a load leaves behind, cell by cell.
+
+
+def _loaded(spark, sf_dir, name: str) -> DataFrame:
+    """A table of the star schema in target types, loaded in two overlapping batches."""
+    table = TABLES[name]
+    df = constraints.conform(_star(spark, sf_dir)[name], table)
+    root = shared_dir(spark)
+    df.write.parquet(f"{root}/{name}")
+    df = spark.read.parquet(f"{root}/{name}")
+    warehouse = ParquetWarehouse(spark, f"{root}/warehouse")
+    load_table(warehouse, table, df.filter(F.crc32(F.col(table.key[0])) % 3 == 0))
+    load_table(warehouse, table, df)
+    return warehouse.read(table)
+
+
+@query
+def loaded_orders(spark, sf_dir):
+    return _loaded(spark, sf_dir, "Orders")
+
+
+@query
+def loaded_items(spark, sf_dir):
+    return _loaded(spark, sf_dir, "Order_Items")
+
+
+@query
+def loaded_products(spark, sf_dir):
+    return _loaded(spark, sf_dir, "Products").distinct()
+
+
+@query
+def loaded_reviews(spark, sf_dir):
+    return _loaded(spark, sf_dir, "Order_Reviews")
+
+
+@query
+def content_audit(spark, sf_dir):
+    """A target that lost rows, has some twice and others with a changed cell, found per
+    table and month."""
+    root, star = _written_star(spark, sf_dir)
+    number = F.col("order_id").cast("bigint")
+    changes = {"Orders": "order_status", "Order_Reviews": "review_comment_title"}
+    audits = []
+    for name, column in changes.items():
+        kept = star[name].filter(number % 5 != 0)
+        spoilt = kept.withColumn(column, F.when(number % 3 == 0, "other").otherwise(F.col(column)))
+        warehouse = ParquetWarehouse(spark, f"{root}/warehouse")
+        warehouse.append(TABLES[name], spoilt.unionAll(spoilt.filter(number % 7 == 0)))
+        audits.append(audit_of(star[name], warehouse.read(TABLES[name]), TABLES[name]))
+    audits.append(audit_of(star["Customers"], star["Customers"], TABLES["Customers"]))
+    return stacked(audits)
+
+
+@query
+def replace_orders(spark, sf_dir):
+    """A re-delivery of a quarter of the orders, some under another month, with new ones."""
+    root, star = _written_star(spark, sf_dir)
+    fact_table, orders = TABLES["Orders"], star["Orders"]
+    warehouse = ParquetWarehouse(spark, f"{root}/warehouse")
+    load_table(warehouse, fact_table, orders)
+    number, bought = F.col("order_id").cast("bigint"), F.col("order_purchase_timestamp")
+    later = F.when(number % 8 == 0, bought + F.expr("INTERVAL 40 DAYS")).otherwise(bought)
+    again = orders.filter(number % 4 == 0).withColumns(
+        {"order_status": F.lit("redelivered"), "order_purchase_timestamp": later}
+    )
+    new = orders.filter(number % 9 == 0).withColumn("order_id", F.concat(F.lit("n"), "order_id"))
+    replace_rows(warehouse, fact_table, again.unionByName(new), f"{root}/months")
+    return warehouse.read(fact_table)
+
+
+@query
+def daily_jobs(spark, sf_dir):
+    """Three daily runs: the second finds a new orders file, the third nothing."""
+    root = shared_dir(spark)
+    for name, df in raw_tables(spark, sf_dir).items():
+        if name == "orders":
+            odd = F.col("order_id").cast("bigint") % 2 == 1
+            land_csv(df.filter(~odd), f"{root}/source/1/{name}.csv")
+            late = df.filter(odd)
+        else:
+            land_csv(df, f"{root}/source/1/{name}.csv")
+    warehouse = ParquetWarehouse(spark, f"{root}/warehouse")
+    counts = []
+    for run in (1, 2, 3):
+        if run == 2:
+            land_csv(late, f"{root}/source/2/orders.csv")
+        report = daily_job(
+            spark, f"{root}/source", f"{root}/landing", warehouse, conformed=False, fail_on=()
+        )
+        if (report is None) != (run == 3):
+            raise RuntimeError(f"run {run} read the wrong files")
+        for name in TABLES:
+            n = warehouse.read(TABLES[name]).count()
+            counts.append((run, name, n))
+    return spark.createDataFrame(counts, "run int, table string, n bigint")

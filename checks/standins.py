@@ -9,7 +9,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermart.schemas import ORDER_TIMES
+from ordermart.schemas import ORDER_TIMES, RAW
 
 
 # The test tables' columns. A stated schema saves a job per read.
@@ -180,3 +180,25 @@ def mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber <> 3 THEN l_shipdate END AS moment",
         "CASE WHEN l_linenumber <> 4 THEN CAST(l_shipdate AS DATE) END AS day",
     )
+
+
+def payment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a payments file, header first in each part, with junk in some cells, cells
+    too many or too few in some rows, and some rows that a line break splits in two."""
+    first = "monotonically_increasing_id() & ((1L << 33) - 1) = 0"
+    junk = "l_orderkey % 7 = 0"
+    line = f"""concat(l_orderkey, ',', IF({junk}, 'x', ''), l_linenumber, ',', l_returnflag,
+        CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE concat(
+            ',', IF(l_quantity <= 45, CAST(CAST(l_quantity AS INT) AS STRING), ''),
+            ',', IF(l_orderkey % 17 = 0, 'R$ 5', CAST(l_extendedprice AS STRING))) END,
+        IF(l_orderkey % 11 = 0, ',more', ''))"""
+    split = """array(concat(l_orderkey, ',', l_linenumber, ',"', l_returnflag),
+        concat(l_returnflag, '",', CAST(l_quantity AS INT), ',', CAST(l_extendedprice AS STRING)))"""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        f"{first} AS first",
+        f"""CASE WHEN l_orderkey % 19 = 0 AND l_linenumber = 1 AND l_orderkey % 7 <> 0
+                AND l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 AND l_orderkey % 17 <> 0
+            THEN {split} ELSE array({line}) END AS lines""",
+    )
+    header = ",".join(RAW["order_payments"].names)
+    return lines.selectExpr(f"explode(IF(first, concat(array('{header}'), lines), lines)) AS line")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordermart.schemas import TIMESTAMP_FORMAT
+from ordermart.schemas import TIMESTAMP_PATTERN
 
 
 def quoted(name: str) -> str:
@@ -69,13 +69,14 @@ def null_flags(df: DataFrame) -> DataFrame:
 
 
 def parse_timestamp(value: Column, dtype: T.DataType = T.StringType()) -> Column:
-    """Text to timestamp, null where the text is not one. Timestamps pass through,
-    dates become midnight."""
+    """Text to a wall-clock time, null where the text is not one, whatever the session's
+    zone. Timestamps pass through, dates become midnight."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return value
     if isinstance(dtype, T.DateType):
-        return value.cast("timestamp")
-    return F.try_to_timestamp(value.cast("string"), F.lit(TIMESTAMP_FORMAT))
+        return value.cast("timestamp_ntz")
+    text = value.cast("string")
+    return F.when(text.rlike(TIMESTAMP_PATTERN), text.try_cast("timestamp_ntz"))
 
 
 def parse_score(value: Column) -> Column:

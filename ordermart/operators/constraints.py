@@ -50,7 +50,7 @@ def _converted(field: T.StructField, source: T.DataType) -> Column:
     value = named(field.name)
     if source == target:
         return value
-    if isinstance(target, T.TimestampType) and isinstance(source, T.StringType):
+    if isinstance(target, T.TimestampNTZType) and isinstance(source, T.StringType):
         return parse_timestamp(value, source)
     if isinstance(source, T.NumericType):
         if type(target) in _WHOLE and not isinstance(source, T.IntegralType):

@@ -3,58 +3,29 @@ most of the rows."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordermart.functions.columns import quoted
 
-@dataclass(frozen=True)
-class JoinSizes:
-    """From how many rows on a key is hot, and up to how many bytes, by Spark's
-    own estimate, a lookup side is broadcast whole."""
-
-    hot_rows: int = 1_000_000
-    broadcast_bytes: int = 10 * 1024 * 1024
-
-
-DEFAULT_SIZES = JoinSizes()
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's size estimate of a frame from its files' sizes, without a job.
-    None where the session does not offer it."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-    except (AttributeError, NotImplementedError):
-        return None
-    return int(plan.stats().sizeInBytes())
+_TAG = "__tag"
 
 
 def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    sizes: JoinSizes = DEFAULT_SIZES,
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
 ) -> DataFrame:
     """`rows` inner or left-semi joined to `lookup`, which has one row per key.
 
-    A lookup side within the size bound is broadcast. Beyond it the rows of hot
-    keys meet a broadcast of just those keys' lookup rows and are not shuffled;
-    of such keys there is at most one per `hot_rows` rows. All other rows take an
-    ordinary join. With no hot key the first branch is empty, and adaptive
-    execution drops it before its scan.
+    One plain join and one scan of either side, whatever their sizes. A lookup that
+    turns out small is broadcast at run time by its measured size. Else adaptive
+    execution cuts the partition of a hot key into pieces, each of which meets the
+    lookup's few rows of it. It does so only for a side that is shuffled for the join
+    itself, and a lookup mostly comes partitioned by its key already, from being brought
+    to one row per key. So the join is on the key and a hash of it, which no side is
+    partitioned by: both are shuffled here, and the lookup, the smaller side, once more.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"lookup_join does not do {how} joins")
-    size = estimated_bytes(lookup)
-    if size is not None and size <= sizes.broadcast_bytes:
-        return rows.join(F.broadcast(lookup), key, how)
-    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
-    hot = F.broadcast(counts.filter(F.col("__n") >= sizes.hot_rows).select(key))
-    hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
-    cold_rows = rows.join(hot, key, "left_anti")
-    return rows.join(hot_lookup, key, how).unionByName(
-        cold_rows.join(lookup, key, how)
-    )
+    tag = F.expr(f"xxhash64({quoted(key)})")
+    met = rows.withColumn(_TAG, tag).join(lookup.withColumn(_TAG, tag), [key, _TAG], how)
+    return met.drop(_TAG)

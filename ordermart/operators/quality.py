@@ -9,19 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermart.functions.columns import fill_defaults, named
-from ordermart.operators.lookup import (
-    DEFAULT_SIZES,
-    JoinSizes,
-    estimated_bytes,
-    lookup_join,
-)
+from ordermart.operators.keyfilter import key_filter, may_hold
 
 _N = "__n"
 _HASH = "__hash"
 
-# From this estimate on a report avoids shuffling whole rows.
-LARGE_BYTES = 1024**3
-
 
 def row_groups(df: DataFrame, count: str = _N) -> DataFrame:
     """Each different row with how often it occurs. Copies are counted up before
@@ -64,18 +56,15 @@ def null_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def hashed_duplicate_rows(
-    df: DataFrame, work: str, sizes: JoinSizes = DEFAULT_SIZES
-) -> DataFrame:
-    """`duplicate_rows` for large tables. Equal rows have equal hashes, so only
-    hashes are shuffled, and only the rows of a repeated one are then compared
-    in full. The repeated hashes are written to `work`."""
+def repeated_rows(df: DataFrame, count: str = _N) -> DataFrame:
+    """`duplicate_rows` without a shuffle of rows that occur once. Equal rows have
+    equal hashes, so only hashes are counted; a filter of bounded size over the repeated
+    ones then leaves their rows (and a few others) to be compared in full. Two scans, one
+    lazy plan."""
     hashed = df.withColumn(_HASH, F.xxhash64(*[named(c) for c in df.columns]))
-    repeated = hashed.groupBy(_HASH).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1)
-    repeated.select(_HASH).write.mode("overwrite").parquet(work)
-    repeated = df.sparkSession.read.schema(f"{_HASH} bigint").parquet(work)
-    suspects = lookup_join(hashed, repeated, _HASH, "left_semi", sizes)
-    return duplicate_rows(suspects.select(*[named(c) for c in df.columns]), _N)
+    hashes = hashed.groupBy(_HASH).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1)
+    suspects = may_hold(hashed, [_HASH], key_filter(hashes, [_HASH])).drop(_HASH)
+    return duplicate_rows(suspects, count)
 
 
 def _measures(df: DataFrame, weight: Column, groups: Column, extra: Column) -> DataFrame:
@@ -85,28 +74,13 @@ def _measures(df: DataFrame, weight: Column, groups: Column, extra: Column) -> D
     return df.agg(F.array(*[F.coalesce(v, F.lit(0).cast("bigint")) for v in sums]).alias("m"))
 
 
-def quality_profile(
-    df: DataFrame,
-    work: str | None = None,
-    sizes: JoinSizes = DEFAULT_SIZES,
-    large: int = LARGE_BYTES,
-) -> DataFrame:
+def quality_profile(df: DataFrame) -> DataFrame:
     """`duplicate_report` with the nulls per column of the distinct rows, as one
-    row per column.
-
-    Up to `large` bytes, or without a work folder, whole rows are grouped once.
-    Beyond that all rows are counted in a plain scan, and what the copies add to
-    those counts is taken off again.
-    """
-    size = estimated_bytes(df)
+    row per column. All rows are counted in a plain scan, and what copies add to those
+    counts is taken off again."""
     n, one, none = F.col(_N), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    if work is None or (size is not None and size <= large):
-        parts = _measures(row_groups(df), one, (n > 1).cast("bigint"), n - 1)
-    else:
-        copies = hashed_duplicate_rows(df, work, sizes)
-        parts = _measures(df, one, none, none).unionAll(
-            _measures(copies, 1 - n, one, n - 1)
-        )
+    copies = repeated_rows(df)
+    parts = _measures(df, one, none, none).unionAll(_measures(copies, 1 - n, one, n - 1))
     total = parts.agg(
         *[F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(3 + len(df.columns))]
     )
@@ -125,15 +99,10 @@ def quality_profile(
     )
 
 
-def quality_report(
-    tables: Mapping[str, DataFrame], work: str | None = None, **options
-) -> DataFrame:
+def quality_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """`quality_profile` of several tables, one below the other."""
     parts = [
-        quality_profile(df, work and f"{work}/{name}", **options).select(
-            F.lit(name).alias("table"), "*"
-        )
-        for name, df in tables.items()
+        quality_profile(df).select(F.lit(name).alias("table"), "*") for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ordermart.functions.columns import fill_defaults, has_time, parse_timestamp
 from ordermart.operators.dedup import keep_one
-from ordermart.operators.lookup import DEFAULT_SIZES, JoinSizes, lookup_join
+from ordermart.operators.lookup import lookup_join
 from ordermart.schemas import ORDER_TIMES, TABLES
 
 ZIP = "customer_zip_code_prefix"
@@ -58,7 +58,6 @@ def sold_items(items: DataFrame, sellers: DataFrame) -> DataFrame:
 def order_fact(
     raw: Mapping[str, DataFrame],
     reviews: DataFrame | None = None,
-    sizes: JoinSizes = DEFAULT_SIZES,
 ) -> DataFrame:
     """One row per order that has all timestamps, a payment, a located customer,
     an item with a known seller, and a review.
@@ -72,7 +71,7 @@ def order_fact(
     )
     customers = located_customers(raw["customers"], raw["geolocation"])
     placed = keep_one(
-        lookup_join(orders, customers, "customer_id", "inner", sizes), ["order_id"]
+        lookup_join(orders, customers, "customer_id"), ["order_id"]
     )
     payments = keep_one(
         fill_defaults(
@@ -103,14 +102,14 @@ def order_fact(
 
 
 def order_fact_conformed(
-    raw: Mapping[str, DataFrame], order_reviews_dim: DataFrame, sizes: JoinSizes = DEFAULT_SIZES
+    raw: Mapping[str, DataFrame], order_reviews_dim: DataFrame
 ) -> DataFrame:
     """The fact with reviews out of the reviews dimension only, so that every
     review_id in it refers to a row there."""
-    return order_fact(raw, order_reviews_dim, sizes)
+    return order_fact(raw, order_reviews_dim)
 
 
-def join_fanout(tables: Mapping[str, DataFrame], sizes: JoinSizes = DEFAULT_SIZES) -> DataFrame:
+def join_fanout(tables: Mapping[str, DataFrame]) -> DataFrame:
     """How many rows the six-way join of these tables has per order, worked out
     from counts per key without building the rows."""
 
@@ -124,7 +123,7 @@ def join_fanout(tables: Mapping[str, DataFrame], sizes: JoinSizes = DEFAULT_SIZE
     places = counted("geolocation", "n_places", GEO_ZIP).withColumnRenamed(GEO_ZIP, ZIP)
     customers = counted("customers", "n_customers", "customer_id", ZIP)
     located = total(
-        lookup_join(customers, places, ZIP, "inner", sizes),
+        lookup_join(customers, places, ZIP),
         "customer_id", "n_customers", "n_places", "n_located",
     )
     orders = (
@@ -133,13 +132,13 @@ def join_fanout(tables: Mapping[str, DataFrame], sizes: JoinSizes = DEFAULT_SIZE
         .agg(F.count("*").alias("n_orders"))
     )
     placed = total(
-        lookup_join(orders, located, "customer_id", "inner", sizes),
+        lookup_join(orders, located, "customer_id"),
         "order_id", "n_orders", "n_located", "n_placed",
     )
     sellers = counted("sellers", "n_sellers", "seller_id")
     items = counted("order_items", "n_items", "order_id", "seller_id")
     sold = total(
-        lookup_join(items, sellers, "seller_id", "inner", sizes),
+        lookup_join(items, sellers, "seller_id"),
         "order_id", "n_items", "n_sellers", "n_sold",
     )
     payments = counted("order_payments", "n_payments", "order_id")

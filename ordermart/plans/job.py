@@ -1,4 +1,4 @@
-"""The whole run: read, profile, build, check, load, audit."""
+"""The whole run: land, read, profile, build, check, load, audit."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from ordermart.operators.constraints import (
     pk_violations,
     type_rejects,
 )
-from ordermart.operators.lookup import DEFAULT_SIZES, JoinSizes
 from ordermart.operators.quality import quality_report
 from ordermart.plans.dimensions import (
     customer_dim,
@@ -28,12 +27,10 @@ from ordermart.plans.dimensions import (
 )
 from ordermart.plans.fact import order_fact, order_fact_conformed
 from ordermart.schemas import TABLES, load_order
-from ordermart.session import shared_dir
-from ordermart.sinks.warehouse import key_audit, load_warehouse
-from ordermart.sources.files import scan_rejects
-
-#: Column of raw tables with the text of rows that the scan could not read in full.
-MALFORMED = "_malformed"
+from ordermart.session import remove_folder, shared_dir
+from ordermart.sinks.landing import land_new, landed_tables, mark_loaded
+from ordermart.sinks.warehouse import FACT, content_audit, load_table, replace_rows
+from ordermart.sources.files import MALFORMED, scan_rejects
 
 RULES = ("row", "type", "length", "primary key", "foreign key")
 
@@ -82,16 +79,23 @@ def value_violations(star: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def reject_violations(rejects: DataFrame) -> DataFrame:
+    """Rejects of scans (table, column, text) as violations: cells break rule `type`, rows
+    rule `row`, with their text as key."""
+    return rejects.select(
+        F.when(F.col("column").isNull(), "row").otherwise("type").alias("rule"),
+        "table",
+        "column",
+        F.col("text").alias("key"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
+
+
 def scan_violations(raw: Mapping[str, DataFrame]) -> list[DataFrame]:
-    """Cells (rule `type`) and rows (rule `row`) of raw tables that the scan could not
-    read, with their text as key: rule, table, column, key, n."""
+    """Cells and rows of raw tables that the scan could not read."""
     return [
-        scan_rejects(df, MALFORMED).select(
-            F.when(F.col("column").isNull(), "row").otherwise("type").alias("rule"),
-            F.lit(name).alias("table"),
-            "column",
-            F.col("text").alias("key"),
-            F.lit(1).cast("bigint").alias("n"),
+        reject_violations(
+            scan_rejects(df, MALFORMED).select(F.lit(name).alias("table"), "column", "text")
         )
         for name, df in raw.items()
         if MALFORMED in df.columns
@@ -136,42 +140,45 @@ def run_job(
     item_grain: str = "order",
     conformed: bool = True,
     fail_on: tuple[str, ...] = RULES,
-    sizes: JoinSizes = DEFAULT_SIZES,
     stage_raw: bool = False,
+    rejects: DataFrame | None = None,
+    replace: bool = False,
 ) -> JobReport:
     """Build the star schema from raw tables and append what is new to the
-    warehouse. Running it again changes nothing.
+    warehouse. Running it again changes nothing. With `replace` orders that the warehouse
+    has already are replaced by these, month by month.
 
     Raw tables are scanned several times; with `stage_raw`, meant for CSV, they
     are parsed once into columnar files that all later scans read. Tables with a
-    MALFORMED column always are, and what their scan could not read is a violation.
+    MALFORMED column always are, and what their scan could not read is a violation, as
+    are `rejects`, the like of an earlier step.
 
     The fact takes its reviews from the dimension; with `conformed=False` from the raw
     ones, whose unreadable dates then break the fact's reference to the dimension.
 
-    Raises RuleViolation before the load if rows break a rule in `fail_on`, and
-    after it if a written key is missing from the target.
+    Raises RuleViolation before the load if rows break a rule in `fail_on`, and after it
+    if a written row is missing from the target, or with `replace` is another one there.
+    Without a `work` folder of the caller only the report's tables stay.
     """
-    work = work or shared_dir(spark)
+    own, work = work is None, work or shared_dir(spark)
     raw = {
         name: _written(df, f"{work}/raw/{name}")
         if stage_raw or MALFORMED in df.columns
         else df
         for name, df in raw.items()
     }
-    unread = scan_violations(raw)
+    unread = scan_violations(raw) + ([] if rejects is None else [reject_violations(rejects)])
     raw = {name: df.drop(MALFORMED) for name, df in raw.items()}
-    report = quality_report(raw, f"{work}/repeated", sizes=sizes)
-    quality = _written(report, f"{work}/quality")
+    quality = _written(quality_report(raw), f"{work}/quality")
 
     staged = {
         name: _written(df, f"{work}/{name}")
         for name, df in dimensions(raw, item_grain).items()
     }
     fact = (
-        order_fact_conformed(raw, staged["Order_Reviews"], sizes)
+        order_fact_conformed(raw, staged["Order_Reviews"])
         if conformed
-        else order_fact(raw, sizes=sizes)
+        else order_fact(raw)
     )
     staged["Orders"] = _written(fact, f"{work}/Orders")
     star = {name: conform(df, TABLES[name]) for name, df in staged.items()}
@@ -185,10 +192,37 @@ def run_job(
         raise RuleViolation(f"{broken}; see {work}/violations")
 
     order = load_order()
-    load_warehouse(warehouse, star, order, sizes)
-    audits = [key_audit(star[n], warehouse.read(TABLES[n]), TABLES[n], sizes) for n in order]
+    for name in order:
+        if replace and name == FACT:
+            replace_rows(warehouse, TABLES[name], star[name], f"{work}/months")
+        else:
+            load_table(warehouse, TABLES[name], star[name])
+    audits = [content_audit(star[n], warehouse.read(TABLES[n]), TABLES[n]) for n in order]
     audit = _written(reduce(DataFrame.unionByName, audits), f"{work}/audit")
-    missing = audit.filter("missing > 0").select("table", "missing").collect()
-    if missing:
-        raise RuleViolation(f"keys missing from the target: {missing}")
+    lost = F.col("missing") > 0
+    if replace:
+        lost = lost | ((F.col("table") == FACT) & (F.col("changed") > 0))
+    # One row per table and month.
+    wrong = audit.filter(lost).select("table", "month", "missing", "changed").collect()
+    if wrong:
+        raise RuleViolation(f"rows missing from the target: {wrong}")
+    if own:
+        for name in ["raw", "months", *order]:
+            remove_folder(spark, f"{work}/{name}")
     return JobReport(quality, found, audit)
+
+
+def daily_job(
+    spark: SparkSession, source: str, landing: str, warehouse, **options
+) -> JobReport | None:
+    """Land the files below `source` that are new, and load from all that has landed. A
+    run without new files reads none and returns None. Files whose rows break a rule stop
+    the load and count as new until a delivery of them passes."""
+    new = land_new(spark, source, landing)
+    if new is None:
+        return None
+    report = run_job(
+        spark, landed_tables(spark, landing), warehouse, rejects=new.rejects, **options
+    )
+    mark_loaded(new, landing)
+    return report

@@ -12,7 +12,7 @@ INT = T.IntegerType()
 SMALLINT = T.ShortType()
 FLOAT = T.FloatType()
 DOUBLE = T.DoubleType()
-TIMESTAMP = T.TimestampType()
+TIMESTAMP = T.TimestampNTZType()  # wall-clock times, the same in every session zone
 VARCHAR_255 = T.VarcharType(255)
 VARCHAR_100 = T.VarcharType(100)
 CHAR_2 = T.CharType(2)
@@ -101,7 +101,7 @@ LANDING_JSON_KEY = "json_data/countries.json"
 
 # The timestamp format of the files, and the five order
 # timestamps without which an order stays out of the fact table.
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 ORDER_TIMES = [
     "order_purchase_timestamp",
     "order_approved_at",

@@ -71,6 +71,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ordermart-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed."""
     context = spark.sparkContext

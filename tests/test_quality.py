@@ -1,18 +1,18 @@
-import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from ordermart.operators.lookup import JoinSizes
+from ordermart.operators import quality
+from ordermart.operators.keyfilter import key_filter, may_hold
 from ordermart.operators.quality import (
     clean,
     distinct_rows,
     duplicate_report,
     duplicate_rows,
-    hashed_duplicate_rows,
     null_profile,
     preview,
     quality_profile,
     quality_report,
+    repeated_rows,
 )
 
 
@@ -49,21 +49,37 @@ def test_null_profiles(spark):
     ]
 
 
-@pytest.mark.parametrize("sizes", [JoinSizes(), JoinSizes(hot_rows=2, broadcast_bytes=0)])
-def test_large_tables_give_the_same_profile(spark, tmp_path, sizes):
+def test_profile_of_wide_and_signed_values(spark):
     df = sample(spark).withColumns({"m": F.lit(1), "x": F.expr("IF(k = 2, -0.0D, double('NaN'))")})
     df = df.withColumn("x", F.when(F.col("v").isNull(), 0.0).otherwise(F.col("x")))
-    hashed = hashed_duplicate_rows(df, str(tmp_path / "h"), sizes).drop("m", "x")
-    assert rows(hashed) == [(1, "a", 3), (2, None, 2)]
-    got = rows(quality_profile(df, str(tmp_path / "w"), sizes, large=-1))
-    assert got == rows(quality_profile(df))
-    empty = quality_profile(df.limit(0), str(tmp_path / "e"), sizes, large=-1)
+    assert rows(repeated_rows(df).drop("m", "x")) == [(1, "a", 3), (2, None, 2)]
+    report = tuple(duplicate_report(df).first())
+    got = {tuple(r)[:4] for r in quality_profile(df).collect()}
+    assert got == {report}
+    empty = quality_profile(df.limit(0))
     assert rows(empty.select("rows", "nulls").distinct()) == [(0, 0)]
 
 
-def test_signed_zeros_are_one_value(spark, tmp_path):
+def test_signed_zeros_are_one_value(spark):
     df = spark.sql("SELECT * FROM VALUES (0.0D), (-0.0D), (double('NaN')), (-double('NaN')) AS v(x)")
-    assert [n for _, n in rows(hashed_duplicate_rows(df, str(tmp_path / "h")))] == [2, 2]
+    assert [n for _, n in rows(repeated_rows(df))] == [2, 2]
+
+
+def test_hashes_that_meet_are_compared_in_full(spark, monkeypatch):
+    """With a filter of one word all rows are suspects, and the report stays right."""
+    monkeypatch.setattr(quality, "key_filter", lambda df, keys: key_filter(df, keys, 1))
+    monkeypatch.setattr(quality, "may_hold", lambda df, keys, held: may_hold(df, keys, held, 1))
+    df = spark.range(500).selectExpr("id % 490 AS a", "CAST(id % 490 AS STRING) AS b")
+    assert repeated_rows(df).count() == 10
+    assert {tuple(r)[:4] for r in quality_profile(df).collect()} == {(500, 490, 10, 10)}
+
+
+def test_rows_that_occur_once_are_not_shuffled(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "repeat('x', 50) AS wide").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = repeated_rows(df)._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.split("BroadcastHashJoin", 1)
+    assert "Exchange hashpartitioning(id" in before and "Exchange" not in after.split("BroadcastExchange")[0]
 
 
 def test_columns_named_like_the_report(spark):

@@ -54,7 +54,7 @@ def test_inference_and_no_schema(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a,b,c\n1,x,2018-01-01 00:00:00\n2,y,2018-01-01 10:00:00\n")
     inferred = read_table(spark, str(path), infer=True).dtypes
-    assert inferred == [("a", "int"), ("b", "string"), ("c", "timestamp")]
+    assert inferred == [("a", "int"), ("b", "string"), ("c", "timestamp_ntz")]
     assert {t for _, t in read_table(spark, str(path)).dtypes} == {"string"}
 
 
@@ -102,7 +102,7 @@ def test_fact_from_inferred_types(spark, tmp_path, make_raw):
     for name, df in make_raw().items():
         land_csv(df, str(tmp_path / f"{name}.csv"))
     raw = read_tables(spark, str(tmp_path), infer=True)
-    assert dict(raw["order_reviews"].dtypes)["review_creation_date"] == "timestamp"
+    assert dict(raw["order_reviews"].dtypes)["review_creation_date"] == "timestamp_ntz"
     row = order_fact(raw).first()
     assert (row.order_id, row.zip_code_prefix, row.order_approved_at) == ("o1", 1000, DAY)
 

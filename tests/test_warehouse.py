@@ -2,7 +2,6 @@ import pytest
 from conftest import item, order, payment, review, rows
 
 from ordermart.operators.constraints import conform, storage_schema
-from ordermart.operators.lookup import JoinSizes
 from ordermart.plans.dimensions import customer_dim
 from ordermart.schemas import TABLES
 from ordermart.sinks.warehouse import (
@@ -33,28 +32,23 @@ def test_loading_again_appends_only_what_is_new(spark, tmp_path, make_raw):
     assert [r[0] for r in rows(warehouse.read(CUSTOMERS))] == ["a", "b", "c"]
 
 
-SIZES = [JoinSizes(), JoinSizes(broadcast_bytes=0)]
-
-
 def stored(spark, tmp_path, df):
     path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_new_rows_of_a_composite_key(spark, tmp_path, sizes):
+def test_new_rows_of_a_composite_key(spark, tmp_path):
     schema = "k string, n int, v string"
     new = stored(spark, tmp_path, spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], schema))
     old = spark.createDataFrame([("a", 1, "z"), ("b", 2, "z")], schema)
-    assert rows(new_rows(new, old, ("k", "n"), sizes)) == [("a", 2, "y")]
+    assert rows(new_rows(new, old, ("k", "n"))) == [("a", 2, "y")]
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_rows_without_their_key_are_loaded_once(spark, tmp_path, sizes):
+def test_rows_without_their_key_are_loaded_once(spark, tmp_path):
     new = stored(spark, tmp_path, spark.createDataFrame([(None, 1), ("a", 1)], "k string, n int"))
-    assert rows(new_rows(new, new.limit(0), ("k",), sizes)) == [("a", 1), (None, 1)]
-    assert rows(new_rows(new, new, ("k",), sizes)) == []
+    assert rows(new_rows(new, new.limit(0), ("k",))) == [("a", 1), (None, 1)]
+    assert rows(new_rows(new, new, ("k",))) == []
 
 
 def test_small_batch_leaves_the_target_unshuffled(spark, tmp_path, make_raw):
@@ -65,11 +59,10 @@ def test_small_batch_leaves_the_target_unshuffled(spark, tmp_path, make_raw):
     assert "hashpartitioning" not in plan.split("BuildRight")[0]
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_audit_nets_keys(spark, tmp_path, make_raw, sizes):
+def test_audit_nets_keys(spark, tmp_path, make_raw):
     def audit(written, target):
         written = stored(spark, tmp_path, written)
-        return tuple(key_audit(written, target, CUSTOMERS, sizes).first())
+        return tuple(key_audit(written, target, CUSTOMERS).first())
 
     written = customers(make_raw, "a", "b", "c")
     target = customers(make_raw, "b", "c", "d")
