@@ -386,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_rows": _with(
             f"SELECT * FROM {_copies('geolocation')} WHERE n > 1"
         ),
+        "repeated_rows": _with(f"SELECT * FROM {_copies('order_reviews')} WHERE n > 1"),
         "duplicate_report": _with(_DUPLICATE_REPORT),
         "quality_report": _with(_QUALITY_REPORT),
         "distinct_rows": _with("SELECT DISTINCT * FROM r_geolocation"),

@@ -217,6 +217,11 @@ def duplicate_rows(spark, sf_dir):
     return quality.duplicate_rows(raw_tables(spark, sf_dir)["geolocation"])
 
 
+@query
+def repeated_rows(spark, sf_dir):
+    return quality.repeated_rows(raw_tables(spark, sf_dir)["order_reviews"], "n")
+
+
 @query
 def duplicate_report(spark, sf_dir):
     return stacked(

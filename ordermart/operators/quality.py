@@ -13,6 +13,9 @@ from ordermart.operators.keyfilter import key_filter, may_hold
 
 _N = "__n"
 _HASH = "__hash"
+_NULLS = "__nulls"
+#: Columns whose null flags share a number.
+_FLAGS = 62
 
 
 def row_groups(df: DataFrame, count: str = _N) -> DataFrame:
@@ -59,43 +62,54 @@ def null_profile(df: DataFrame) -> DataFrame:
 def repeated_rows(df: DataFrame, count: str = _N) -> DataFrame:
     """`duplicate_rows` without a shuffle of rows that occur once. Equal rows have
     equal hashes, so only hashes are counted; a filter of bounded size over the repeated
-    ones then leaves their rows (and a few others) to be compared in full. Two scans, one
-    lazy plan."""
+    ones then leaves their rows (and a few others) to be compared in full. Without a
+    repeated hash adaptive execution drops the second scan."""
     hashed = df.withColumn(_HASH, F.xxhash64(*[named(c) for c in df.columns]))
     hashes = hashed.groupBy(_HASH).agg(F.count("*").alias(_N)).filter(F.col(_N) > 1)
-    suspects = may_hold(hashed, [_HASH], key_filter(hashes, [_HASH])).drop(_HASH)
-    return duplicate_rows(suspects, count)
-
-
-def _measures(df: DataFrame, weight: Column, groups: Column, extra: Column) -> DataFrame:
-    """Sums of `weight` over all rows and over the nulls of each column."""
-    nulls = [F.sum(F.when(named(c).isNull(), weight)) for c in df.columns if c != _N]
-    sums = [F.sum(weight), F.sum(groups), F.sum(extra), *nulls]
-    return df.agg(F.array(*[F.coalesce(v, F.lit(0).cast("bigint")) for v in sums]).alias("m"))
+    suspects = may_hold(hashed, [_HASH], key_filter(hashes, [_HASH]))
+    return duplicate_rows(suspects.drop(_HASH), count)
+
+
+def row_digests(df: DataFrame) -> DataFrame:
+    """Each different row as a digest of 128 bits and flags of its null cells, with how
+    often it occurs. Only numbers are shuffled, however wide the rows are. Among 10^12 rows
+    two different ones share a digest with a probability below 10^-14."""
+    zero = F.lit(0).cast("bigint")
+    cells = [named(c) for c in df.columns]
+    flags = [F.when(c.isNull(), F.lit(1 << i % _FLAGS).cast("bigint")).otherwise(zero)
+             for i, c in enumerate(cells)]
+    words = [
+        reduce(Column.bitwiseOR, flags[at : at + _FLAGS]).alias(f"{_NULLS}{at // _FLAGS}")
+        for at in range(0, len(flags), _FLAGS)
+    ]
+    hashes = [F.xxhash64(F.lit(salt), *cells).alias(f"{_HASH}{salt}") for salt in (1, 2)]
+    digests = df.select(*hashes, *words)
+    return digests.groupBy(*digests.columns).agg(F.count("*").alias(_N))
 
 
 def quality_profile(df: DataFrame) -> DataFrame:
     """`duplicate_report` with the nulls per column of the distinct rows, as one
-    row per column. All rows are counted in a plain scan, and what copies add to those
-    counts is taken off again."""
-    n, one, none = F.col(_N), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    copies = repeated_rows(df)
-    parts = _measures(df, one, none, none).unionAll(_measures(copies, 1 - n, one, n - 1))
-    total = parts.agg(
-        *[F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(3 + len(df.columns))]
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("nulls"))
-            for i, c in enumerate(df.columns, start=3)
-        ]
+    row per column. One scan and one shuffle of digests."""
+    n, zero = F.col(_N), F.lit(0)
+    nulls = [
+        F.count_if(
+            F.col(f"{_NULLS}{i // _FLAGS}").bitwiseAND(F.lit(1 << i % _FLAGS).cast("bigint")) != 0
+        ).alias(f"m{i}")
+        for i in range(len(df.columns))
+    ]
+    total = row_digests(df).agg(
+        F.coalesce(F.sum(n), zero).alias("rows"),
+        F.count("*").alias("distinct_rows"),
+        F.count_if(n > 1).alias("dup_groups"),
+        F.coalesce(F.sum(n - 1), zero).alias("extra_rows"),
+        *nulls,
     )
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("nulls"))
+        for i, c in enumerate(df.columns)
+    ]
     return total.select(
-        (F.col("m0") + F.col("m2")).alias("rows"),
-        F.col("m0").alias("distinct_rows"),
-        F.col("m1").alias("dup_groups"),
-        F.col("m2").alias("extra_rows"),
-        F.inline(cells),
+        "rows", "distinct_rows", "dup_groups", "extra_rows", F.inline(F.array(*cells))
     )
 
 

@@ -65,13 +65,22 @@ def test_signed_zeros_are_one_value(spark):
     assert [n for _, n in rows(repeated_rows(df))] == [2, 2]
 
 
-def test_hashes_that_meet_are_compared_in_full(spark, monkeypatch):
-    """With a filter of one word all rows are suspects, and the report stays right."""
+def test_strangers_in_the_filter_are_compared_in_full(spark, monkeypatch):
+    """With a filter of one word all rows are suspects."""
     monkeypatch.setattr(quality, "key_filter", lambda df, keys: key_filter(df, keys, 1))
     monkeypatch.setattr(quality, "may_hold", lambda df, keys, held: may_hold(df, keys, held, 1))
     df = spark.range(500).selectExpr("id % 490 AS a", "CAST(id % 490 AS STRING) AS b")
     assert repeated_rows(df).count() == 10
-    assert {tuple(r)[:4] for r in quality_profile(df).collect()} == {(500, 490, 10, 10)}
+
+
+def test_profile_of_many_columns_and_moved_nulls(spark):
+    """More columns than a number has flags; rows that differ in where a null is."""
+    names = [f"c{i}" for i in range(130)]
+    data = [tuple(1 if i != j else None for i in range(130)) for j in (0, 61, 62, 129, 129)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} int" for c in names))
+    got = {r["column"]: r for r in quality_profile(df).collect()}
+    assert {tuple(r)[:4] for r in got.values()} == {(5, 4, 1, 1)}
+    assert {c for c, r in got.items() if r["nulls"]} == {"c0", "c61", "c62", "c129"}
 
 
 def test_rows_that_occur_once_are_not_shuffled(spark, tmp_path):
