@@ -1,8 +1,9 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR, BENCH_CPUS: tables and cores. BENCH_RUNS: runs per query after one
-warm-up, of which the best counts. BENCH_LONG_WAY=1 also times the six joins in
-full, the baseline that the fact is measured against.
+warm-up, of which the best counts. `load_increment` finds what to append of a batch to a
+target ten times its size. BENCH_LONG_WAY=1 also times the six joins in full, the
+baseline that the fact is measured against, and a load that shuffles all of the target's keys.
 """
 
 from __future__ import annotations
@@ -13,9 +14,16 @@ import time
 
 from pyspark.sql import SparkSession
 
-from checks.longway import order_fact_after_joins, order_fact_any_row
+from checks.longway import (
+    PAYMENT_KEY,
+    increment,
+    new_rows_by_full_keys,
+    order_fact_after_joins,
+    order_fact_any_row,
+)
 from checks.queries import QUERIES
 from checks.standins import raw_tables
+from ordermart.sinks.warehouse import new_rows
 
 HEADLINE = [
     "order_fact",
@@ -60,6 +68,8 @@ def main() -> None:
         return round(min(seconds(build) for _ in range(runs)), 3)
 
     times = {name: best(QUERIES[name]) for name in HEADLINE}
+    batch, target = increment(spark, sf_dir)
+    times["load_increment"] = best(lambda s, d: new_rows(batch, target, PAYMENT_KEY))
     result = {
         "metric": "headline queries, total",
         "value": round(sum(times.values()), 3),
@@ -74,6 +84,7 @@ def main() -> None:
             "order_fact_after_joins": best(
                 lambda s, d: order_fact_after_joins(raw_tables(s, d))
             ),
+            "load_by_full_keys": best(lambda s, d: new_rows_by_full_keys(batch, target)),
         }
     print(json.dumps(result))
     spark.stop()

@@ -1,17 +1,19 @@
-"""The order fact the long way: all six joins in full, then one row per order.
-Only tests and the bench use it, to measure the library's way against it."""
+"""The long way: for the order fact all six joins in full, then one row per order; for a
+load all keys of the target. Only tests and the bench use it, to measure against."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.standins import raw_tables
 from ordermart.operators.dedup import keep_one
 from ordermart.operators.quality import clean
 from ordermart.plans.fact import GEO_ZIP, ZIP, timed_orders
 from ordermart.schemas import ORDER_TIMES, TABLES
+from ordermart.session import shared_dir
 
 
 def all_combinations(raw: Mapping[str, DataFrame]) -> DataFrame:
@@ -56,3 +58,24 @@ def order_fact_any_row(raw: Mapping[str, DataFrame]) -> DataFrame:
     """With an arbitrary row kept per order, as a plain dropDuplicates does."""
     combinations = all_combinations(raw).drop("order_item_id")
     return combinations.dropDuplicates(["order_id"])
+
+
+def increment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A batch of payments, half of them loaded already, and a target of ten times its
+    size; both written."""
+    payments = raw_tables(spark, sf_dir)["order_payments"]
+    root = shared_dir(spark)
+    payments.write.parquet(f"{root}/batch")
+    copy = F.explode(F.array(*[F.lit(i) for i in range(10)]))
+    held = payments.withColumn("copy", copy).filter("copy > 0 OR payment_sequential % 2 = 0")
+    key = F.when(F.col("copy") > 0, F.concat_ws("-", "order_id", "copy")).otherwise(F.col("order_id"))
+    held.withColumn("order_id", key).drop("copy").write.parquet(f"{root}/target")
+    return spark.read.parquet(f"{root}/batch"), spark.read.parquet(f"{root}/target")
+
+
+PAYMENT_KEY = ("order_id", "payment_sequential")
+
+
+def new_rows_by_full_keys(batch: DataFrame, target: DataFrame) -> DataFrame:
+    """The rows to append, with all keys of the target shuffled."""
+    return batch.join(target.select(*PAYMENT_KEY), list(PAYMENT_KEY), "left_anti")

@@ -365,6 +365,15 @@ def oracle_sql() -> dict[str, str]:
             + " FROM r_orders"
         ),
         "json_landing": "SELECT event_id, event_type, value, props FROM events",
+        "json_variant": """
+            SELECT CASE WHEN NOT broken THEN event_id END AS event_id,
+                   CASE WHEN NOT broken AND NOT other THEN event_type END AS event_type,
+                   CASE WHEN NOT broken AND NOT other THEN value END AS value,
+                   CASE WHEN NOT broken AND NOT other THEN props END AS props,
+                   CASE WHEN NOT broken AND other THEN user_id END AS user_id,
+                   CASE WHEN broken
+                        THEN left('{"event_id":' || event_id || ',"event_type":"', 20) END AS reject
+            FROM (SELECT *, event_id % 10 = 0 AS broken, event_id % 4 = 1 AS other FROM events)""",
         "null_flags": _with(
             "SELECT "
             + ", ".join(

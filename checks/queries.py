@@ -43,7 +43,13 @@ from ordermart.sinks.warehouse import (
     replace_rows,
 )
 from ordermart.sinks.warehouse import content_audit as audit_of
-from ordermart.sources import read_json, read_table, read_tables
+from ordermart.sources import (
+    json_rejects,
+    read_json,
+    read_json_any,
+    read_table,
+    read_tables,
+)
 from ordermart.sources.files import MALFORMED, scan_rejects
 from ordermart.sources.inference import type_counts
 
@@ -140,6 +146,31 @@ def json_landing(spark, sf_dir):
     return read_json(spark, land_json(events, shared_dir(spark)), events.schema)
 
 
+@query
+def json_variant(spark, sf_dir):
+    """Fields of JSON lines of several layouts, and the lines that are broken."""
+    path = shared_dir(spark)
+    whole = F.to_json(F.struct("event_id", "event_type", F.struct("value", "props").alias("more")))
+    broken, other = F.col("event_id") % 10 == 0, F.col("event_id") % 4 == 1
+    line = F.when(broken, F.left(whole, F.lit(20))).when(
+        other, F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "user_id"))
+    )
+    events = table(spark, sf_dir, "events")
+    events.select(F.coalesce(line, whole).alias("value")).write.text(path)
+    read = read_json_any(spark, path)
+    fields = {
+        "event_id": ("$.event_id", "bigint"),
+        "event_type": ("$.event_type", "string"),
+        "value": ("$.more.value", "double"),
+        "props": ("$.more.props", "string"),
+        "user_id": ("$.user_id", "bigint"),
+    }
+    columns = [F.try_variant_get("doc", at, t).alias(name) for name, (at, t) in fields.items()]
+    good = read.filter("doc IS NOT NULL").select(*columns, F.lit(None).cast("string").alias("reject"))
+    bad = json_rejects(read).withColumnRenamed("text", "reject")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # What scans can't read.
 
 

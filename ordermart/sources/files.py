@@ -180,3 +180,25 @@ def read_json(
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
+
+
+def read_json_any(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """JSON of unknown layout: `text` and `doc`, a variant that fields of any type are taken
+    from by path. JSON lines, or with `document` one value per file, of which an array is
+    one row for each element. Blank lines are left out; `doc` is null where the text doesn't
+    begin with a JSON value, which `json_rejects` lists; what follows a value is passed
+    over, as Spark's parser does."""
+    text = spark.read.text(path, wholetext=document).withColumnRenamed("value", "text")
+    parsed = text.filter(~F.col("text").rlike(r"^\s*$")).withColumn(
+        "doc", F.try_parse_json("text")
+    )
+    if not document:
+        return parsed
+    # anything but an array is not split
+    elements = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
+    return parsed.select("text", F.explode(elements).alias("doc"))
+
+
+def json_rejects(df: DataFrame) -> DataFrame:
+    """The texts that aren't JSON, as they stand."""
+    return df.filter("doc IS NULL").select("text")

@@ -7,7 +7,15 @@ from pyspark.sql import types as T
 from ordermart.schemas import RAW
 from ordermart.session import build_session, object_store_conf, shared_dir
 from ordermart.sinks.landing import has_landed, land_csv, land_files, land_json
-from ordermart.sources import list_objects, read_json, read_table, read_tables, table_objects
+from ordermart.sources import (
+    json_rejects,
+    list_objects,
+    read_json,
+    read_json_any,
+    read_table,
+    read_tables,
+    table_objects,
+)
 
 REVIEWS = (
     "review_id,order_id,review_score,review_comment_title,review_comment_message,"
@@ -123,6 +131,21 @@ def test_json_document_and_lines(spark, tmp_path):
     assert rows(read_json(spark, landed, document.schema)) == rows(document)
 
 
+def test_json_of_any_layout(spark, tmp_path):
+    lines = ['{"a": 1, "b": {"c": "x"}}', "", "{broken", '{"a": "2"}', "[1, 2]", "null", "7"]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    read = read_json_any(spark, str(tmp_path / "lines.json"))
+    found = read.selectExpr("try_variant_get(doc, '$.a', 'int')", "try_variant_get(doc, '$.b.c', 'string')")
+    assert rows(found) == sorted([(1, "x"), (2, None)] + [(None, None)] * 4, key=repr)
+    assert rows(json_rejects(read)) == [("{broken",)]
+
+    for name, text in (("a", '[{"code": "BR"},\n {"code": "UA"}]'), ("b", '{"code":\n "AR"}'), ("c", "[")):
+        (tmp_path / f"{name}.json").write_text(text)
+    read = read_json_any(spark, str(tmp_path / "[abc].json"), document=True)
+    assert rows(read.selectExpr("try_variant_get(doc, '$.code', 'string')")) == [("AR",), ("BR",), ("UA",), (None,)]
+    assert rows(json_rejects(read)) == [("[",)]
+
+
 def test_broken_json_raises(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"code": "BR"\n{]')
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
