@@ -32,8 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Words whose ids a worker keeps; the cache starts anew beyond it.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, twice: beyond it those that weren't met since the last
+#: time go.
+CACHE_WORDS = 400_000
+#: Words that are encoded in one call.
+CALL_WORDS = 64
+#: Signs that always part from a letter before them. Fixed value.
+SIGNS = ".,;:!?$&%#"
 #: A special string of the vocabulary. Fixed value.
 SEPARATOR = "<|startoftext|>"
 #: Examples among which the heuristic chooses.
@@ -73,18 +78,34 @@ class WordIds:
         self.tokenizer.no_padding()
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*words).difference(self.known))
-        for at in range(0, len(new), 256):
-            self.learn(new[at : at + 256])
+            self.older, self.known = self.known, {}
+        new = self.unmet(set().union(*words))
+        split = [(w, *stem_and_signs(w)) for w in new]
+        parts = self.unmet({p for _, *two in split for p in two})
+        for at in range(0, len(parts), CALL_WORDS):
+            self.learn(parts[at : at + CALL_WORDS])
+        for w, stem, signs in split:
+            self.known[w] = self.known[stem] + self.known[signs] if signs else self.known[stem]
         known = self.known.__getitem__
         return [b"".join(map(known, ws)) for ws in words]
 
+    def unmet(self, words: set[str]) -> list[str]:
+        """The words without ids; those of the older half of the cache are kept on."""
+        new = []
+        for w in words.difference(self.known):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        return new
+
     def learn(self, words: list[str]) -> None:
         """Encode words in one call, with a special string, which is always an id of
         its own, between them; words that hold it are encoded one by one."""
@@ -102,6 +123,18 @@ class WordIds:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
+def stem_and_signs(word: str) -> tuple[str, str]:
+    """A word as its letters and the signs behind them, which the tokenizer encodes one
+    after the other, so that a word is learnt once whatever follows it. Case, which it
+    drops, is dropped here where all letters are ASCII, as others may compose with what
+    follows before they lose their case, and none may make up a special string."""
+    stem = word.rstrip(SIGNS)
+    if not stem or not stem[-1].lower().isalpha():
+        stem = word
+    plain = stem.isascii() and "<" not in stem
+    return stem.lower() if plain else stem, word[len(stem) :]
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """One tokenizer for a worker's life."""

@@ -114,6 +114,24 @@ def check_packing(found, given, limits=Limits()):
     return padding
 
 
+def test_word_ids_of_signs_case_and_a_full_cache(monkeypatch):
+    """Signs behind words, letters that change with their case, more words than are kept."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    ours = packing.WordIds(WORDS)
+    theirs = Tokenizer.from_file(WORDS)
+    theirs.no_truncation()
+    theirs.no_padding()
+    odd = ["Word.", "WORD!!", "it's.", "a.b.", "T\u0308.", "t\u0308.", "\u0130.", "\u0391\u03a3.", "x'S.",
+           "1.", "a1.", "...", "$$a$$", "<|startoftext|>.", "a<|startoftext|>.", "A<|ENDOFTEXT|>.", "",
+           "\u02b0.", "\u2167.", "a\x85B.", "Tail.,;:!?", "a\tB."]
+    texts = [*odd, " ".join(odd), *[f"Word{i}, word{i % 7}. W{i}" for i in range(300)], "Word. word1."]
+    for at in range(0, len(texts), 5):
+        some = texts[at : at + 5]
+        want = [e.ids for e in theirs.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in ours(some)] == want
+        assert len(ours.known) <= 40 + 200
+
+
 @pytest.mark.parametrize("given", [AWKWARD, []])
 def test_packing_awkward_rows(docs, given):
     assert check_packing(packing.pack_texts(docs(given), WORDS).collect(), given) == 0
