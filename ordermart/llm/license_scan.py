@@ -209,15 +209,23 @@ class Scanner:
     ) -> Iterator[tuple[int, int, int]]:
         """(first, last, matched) for each place of the template in a stretch. Copies
         would hide each other's anchors, so the alignment moves on from window to
-        window, each beginning at a marker word with one template's length around it."""
+        window, each beginning at a marker word with one template's length before it. The
+        window reaches a little over one template's length, so that a copy behind stays out;
+        where that doesn't hold the whole template, as foreign words lie between, it
+        reaches as far as a place may, and the better alignment counts."""
         n, at = len(t.words), start
         while at < end:
             i = bisect_left(marks, at)
             if i == len(marks) or marks[i] >= end:
                 return
-            low, high = max(at, marks[i] - n), min(end, marks[i] + n + n // 4 + 1)
-            found = align(words[low:high], list(t.words))
-            best = tighten(found, n, self.least)
+            low, best = max(at, marks[i] - n), None
+            for reach in (n + n // 4 + 1, 2 * n + 8):
+                high = min(end, marks[i] + reach)
+                found = tighten(align(words[low:high], list(t.words)), n, self.least)
+                if found is not None and (best is None or found[2] > best[2]):
+                    best = found
+                if best is not None and best[2] == n:
+                    break
             if best is None:
                 at = marks[i] + 1
                 continue

@@ -259,6 +259,24 @@ def test_licenses_are_found(docs):
     assert 0.95 < found[1].coverage < 1
 
 
+@pytest.mark.parametrize("every", [1, 2, 3, 5])
+def test_a_license_with_foreign_words_between_is_found_whole(docs, every):
+    """As far as an alignment of the whole text accepts it."""
+    words = license_scan.split_words(MIT)[0]
+    spread = [w for i, w in enumerate(words) for w in ([w, f"foreign{i}"] if i % every == 0 else [w])]
+    (whole,) = [
+        t for t in license_scan.scanner(tuple(sorted(license_scan.TEMPLATES.items())), 0.8).templates
+        if t.name == "MIT"
+    ]
+    want = license_scan.tighten(license_scan.align(spread, list(whole.words)), len(words), 0.8)
+    assert want is not None
+    text = "alpha beta " * 700 + " ".join(spread) + " gamma" * 500
+    (found,) = license_scan.scan(docs([(1, text)])).collect()
+    assert (found.license, found.matched_words) == ("MIT", want[2])
+    assert found.coverage == want[2] / len(words)
+    assert text[found.start : found.end] == " ".join(spread[want[0] : want[1] + 1])
+
+
 def test_license_query(spark):
     rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     found = {r.doc_id for r in QUERIES["op1_license_scan"](spark, "/root/testdata/sf0.01").collect()}
