@@ -5,8 +5,10 @@ filter directions are all combinations of one code word per block, and a vector
 belongs to every direction with which its inner product exceeds its bound, set so
 that there are `filters` of them. They are found by list decoding: sorted lists of
 partial sums are joined without trying all directions. Vectors of cosine 0.98 have
-many filters in common, so they are joined on filters and compared exactly; the share
-of the links that this finds is measured in the tests.
+many filters in common, so they are joined on filters and compared exactly. For each
+length of vectors there are as many directions as the number of vectors asks for and
+the recall allows, which is measured on random pairs at the threshold: short vectors get
+fewer directions, or more filters, and larger filters are compared in more tiles.
 
 Vectors with the same components and label are one node, whatever their number.
 Filters with one node only are dropped before any vector moves. Within a filter,
@@ -35,6 +37,11 @@ from ordermart.llm.common import map_slices, saved
 from ordermart.llm.components import components
 from ordermart.llm.topk_search import usable
 
+#: The least share of links that filters may find, and pairs that it is measured on.
+RECALL = 0.999
+PAIRS = 4000
+#: Code words of a block at most and at least.
+MOST_WORDS, LEAST_WORDS = 64, 8
 #: Nodes in a tile; of larger filters every pair of tiles is compared on its own.
 TILE = 1024
 
@@ -90,14 +97,42 @@ def code(size: int, words: int) -> Code:
     return Code(size, words)
 
 
+def recall(size: int, words: int, filters: int, threshold: float) -> float:
+    """The share of random pairs of just this cosine that have a filter in common."""
+    rng = np.random.default_rng([3, size])
+    a, b = rng.standard_normal((2, PAIRS, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = threshold * a + math.sqrt(1 - threshold**2) * b
+    x, y = (code(size, words).decode(v, filters)[0] for v in (a, near))
+    return float(np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)]))
+
+
+def scheme(size: int, vectors: int, filters: int, threshold: float) -> tuple[int, int]:
+    """Words of a block and filters of a vector, for vectors of a length of which there are
+    so many: on average an eighth of a vector in each direction, so that strangers seldom
+    meet, but no more directions than the recall allows. Where the fewest are too many,
+    vectors get more filters, in the end all directions."""
+    if size == 1:  # two vectors are the same or opposite
+        return LEAST_WORDS, LEAST_WORDS
+    words = min(MOST_WORDS, max(LEAST_WORDS, math.ceil((8 * filters * vectors) ** 0.25)))
+    while words > LEAST_WORDS and recall(size, words, filters, threshold) < RECALL:
+        words = max(LEAST_WORDS, words * 3 // 4)
+    everywhere = LEAST_WORDS ** min(4, size)
+    while filters < everywhere and recall(size, words, filters, threshold) < RECALL:
+        filters = min(everywhere, filters * 2)
+    return words, filters
+
+
 def units(vectors: list[np.ndarray]) -> np.ndarray:
     v = np.stack(vectors).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of huge numbers overflow
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def filters_of(nodes: DataFrame, words: int, filters: int) -> DataFrame:
-    """node, filter for every direction of every node."""
+def filters_of(nodes: DataFrame, schemes: dict[int, tuple[int, int]]) -> DataFrame:
+    """node, filter for every direction of every node; `schemes` by length of vectors."""
 
     def run(batch: pa.RecordBatch) -> dict:
         ids = np.array(batch.column("node").to_pylist(), dtype=np.int64)
@@ -106,6 +141,7 @@ def filters_of(nodes: DataFrame, words: int, filters: int) -> DataFrame:
         found_ids, found = [], []
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
+            words, filters = schemes[int(size)]
             place, _ = code(int(size), words).decode(units([vectors[i] for i in own]), filters)
             found_ids.append(np.repeat(ids[own], place.shape[1]))
             found.append(place.ravel())
@@ -185,11 +221,13 @@ def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def links_of(nodes: DataFrame, threshold: float, filters: int) -> DataFrame:
     """node, root (a node of the same component), links (vectors, counted by copies):
     parts that add up."""
-    largest = nodes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
-    # so many directions that strangers seldom meet: on average an eighth of a node in each
-    words = min(64, max(8, math.ceil((8 * filters * largest) ** 0.25)))
+    largest = nodes.groupBy("label", "size").count().groupBy("size").agg(F.max("count").alias("n"))
+    # one row for each length of vectors
+    schemes = {
+        r["size"]: scheme(r["size"], r["n"], filters, threshold) for r in largest.collect()
+    }
     key = ["label", "size", "filter"]
-    held = filters_of(nodes, words, filters).join(nodes.select("node", "label", "size"), "node")
+    held = filters_of(nodes, schemes).join(nodes.select("node", "label", "size"), "node")
     held = saved(held)
     shared = held.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
     held = held.join(shared, key)
