@@ -392,6 +392,15 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN l_linenumber <> 4 THEN CAST(l_shipdate AS DATE)
                         ELSE DATE '1970-01-01' END AS day
             FROM lineitem""",
+        "filled_cells": """
+            SELECT unnest(['id', 'whole', 'real', 'text', 'flag', 'moment', 'day']) AS "column",
+                   unnest([0, count(*) FILTER (l_linenumber = 1),
+                           count(*) FILTER (l_quantity >= 10 AND l_quantity < 20),
+                           count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_linenumber = 2),
+                           count(*) FILTER (l_linenumber = 3), count(*) FILTER (l_linenumber = 4)])
+                       AS nulls,
+                   unnest([0, 0, count(*) FILTER (l_quantity < 10), 0, 0, 0, 0]) AS nans
+            FROM lineitem""",
         "duplicate_rows": _with(
             f"SELECT * FROM {_copies('geolocation')} WHERE n > 1"
         ),

@@ -243,6 +243,11 @@ def fill_defaults(spark, sf_dir):
     return fill(mixed_types(spark, sf_dir))
 
 
+@query
+def filled_cells(spark, sf_dir):
+    return quality.filled_cells(mixed_types(spark, sf_dir))
+
+
 @query
 def duplicate_rows(spark, sf_dir):
     return quality.duplicate_rows(raw_tables(spark, sf_dir)["geolocation"])

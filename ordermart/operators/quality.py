@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordermart.functions.columns import fill_defaults, named
 from ordermart.operators.keyfilter import key_filter, may_hold
@@ -59,6 +60,26 @@ def null_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def filled_cells(df: DataFrame) -> DataFrame:
+    """Cells per column that `fill_defaults` replaces, by what they hold: null, or NaN in
+    a column of fractions. One scan."""
+
+    def nan(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            return F.count_if(F.isnan(named(field.name)))
+        return F.lit(0).cast("bigint")
+
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            F.count_if(named(f.name).isNull()).alias("nulls"),
+            nan(f).alias("nans"),
+        )
+        for f in df.schema
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 def repeated_rows(df: DataFrame, count: str = _N) -> DataFrame:
     """`duplicate_rows` without a shuffle of rows that occur once. Equal rows have
     equal hashes, so only hashes are counted; a filter of bounded size over the repeated
