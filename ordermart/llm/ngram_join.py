@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordermart.llm.common import id_and_text, map_slices, saved, texts
+from ordermart.llm.common import fresh, id_and_text, map_slices, saved, texts
 from ordermart.llm.components import components
 from ordermart.llm.embedding_dedup import forest, lists, runs_by_key
 from ordermart.llm.shingles import Bands, band_hashes, shingle_set, words_text
+from ordermart.operators.keyfilter import key_filter, may_hold
 
 #: Documents, and shingles, that a tile may hold on average.
 TILE_DOCS = 256
@@ -40,6 +41,26 @@ def key_of(plain: str) -> bytes:
     return hashlib.blake2b(plain.encode(), digest_size=16).digest()
 
 
+def smallest_id() -> Column:
+    """What documents are compared by: id, null last, then the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).withColumn("hash", F.xxhash64("text"))
+
+
+def node_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One text for each member, by id and hash. Documents are thinned by a filter of bounded
+    size over the members before any text is shuffled, so that the plan is the same
+    whatever the number of members; of documents with the same id and text one goes on."""
+    own = ["doc_id", "hash"]
+    found = may_hold(hashed(docs), own, key_filter(members, own))
+    found = found.groupBy(*own).agg(F.first("text").alias("text"))
+    met = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in own]
+    return found.alias("d").join(members.alias("m"), met).select("m.*", "d.text")
+
+
 def signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """doc_id, key (of the words), hash (of the text), n (shingles) and the band hashes
     of every row."""
@@ -57,8 +78,7 @@ def signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
             ],
         }
 
-    rows = id_and_text(docs).withColumn("hash", F.xxhash64("text"))
-    return map_slices(rows, run, "doc_id long, key binary, hash long, n int, bands array<long>")
+    return map_slices(hashed(docs), run, "doc_id long, key binary, hash long, n int, bands array<long>")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -121,7 +141,7 @@ def verify(rows: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, ...] |
 
 def links_of(docs: DataFrame, members: DataFrame, size: int, similarity: float) -> DataFrame:
     """node, root (a node of the same class), links (documents): parts that add up.
-    `members`: nodes in clusters, with doc_id and key of one document of each."""
+    `members`: nodes in clusters, with doc_id, hash and key of one document of each."""
     sizes = members.groupBy("cluster").agg(
         F.greatest(
             F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)
@@ -130,12 +150,11 @@ def links_of(docs: DataFrame, members: DataFrame, size: int, similarity: float)
     placed = members.join(sizes, "cluster").withColumn(
         "part", F.pmod(F.xxhash64("node"), "tiles").cast("int")
     )
-    placed = placed.withColumnRenamed("doc_id", "own_id")
-    found = id_and_text(docs).join(placed, F.col("doc_id").eqNullSafe(F.col("own_id")))
+    found = node_texts(docs, placed)
 
     def sets(batch: pa.RecordBatch) -> dict:
         plain = [words_text(t) for t in texts(batch)]
-        # of documents with the same id only the node's own one counts
+        # should two texts of one id have the same hash, the node's own one counts
         own = [i for i, (p, k) in enumerate(zip(plain, batch.column("key").to_pylist())) if key_of(p) == k]
         rows = batch.take(pa.array(own, pa.int64()))
         return {
@@ -144,7 +163,7 @@ def links_of(docs: DataFrame, members: DataFrame, size: int, similarity: float)
         }
 
     found = map_slices(
-        found.drop("doc_id", "own_id", "n"),
+        found.drop("doc_id", "hash", "n"),
         sets,
         "node long, cluster long, part int, tiles int, copies long, shingles array<long>",
     )
@@ -174,18 +193,20 @@ def join(
 ) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest id reachable by links),
     copy_id (smallest id of a document with the same words), n_links (other documents
-    that are similar), key (of its words), hash (of its text), n (its shingles), kept (the
-    one row of its class that stays)."""
+    that are similar), key (of its words), hash (of its text), n (its shingles), kept (its id
+    is the class's), first (the hash of the one document of its class that stays). A null
+    id comes last."""
     signed = saved(signatures(docs, size, Bands.choose(similarity, recall)))
     nodes = (
         signed.filter("n > 0")
         .groupBy("key")
         .agg(
             F.count("*").alias("copies"),
-            F.min("doc_id").alias("doc_id"),
+            F.min(smallest_id()).alias("own"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
         )
+        .select("key", "copies", "own.doc_id", "own.hash", "n", "bands")
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = saved(nodes)
@@ -194,45 +215,47 @@ def join(
     roots = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
     placed = (
-        nodes.select("node", "key", "copies", "doc_id")
+        nodes.select("node", "key", "copies", smallest_id().alias("own"))
         .join(links, "node", "left")
         .join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    smallest = placed.groupBy("root").agg(F.min("own").alias("least"))
     found = placed.join(smallest, "root").select(
         "key",
-        "class_id",
-        F.col("doc_id").alias("copy_id"),
+        F.col("least.doc_id").alias("class_id"),
+        F.col("least.hash").alias("first"),
+        F.col("own.doc_id").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     linked = signed.filter("n > 0").select("doc_id", "key", "hash", "n").join(found, "key")
-    linked = linked.select("doc_id", "class_id", "copy_id", "n_links", "key", "hash", "n")
+    linked = linked.select(
+        "doc_id", "class_id", "copy_id", "n_links", "key", "hash", "n", "first"
+    )
     own = F.col("doc_id")
     alone = signed.filter("n = 0").select(
         own, own.alias("class_id"), own.alias("copy_id"),
-        F.lit(0).cast("long").alias("n_links"), "key", "hash", "n",
+        F.lit(0).cast("long").alias("n_links"), "key", "hash", "n", F.col("hash").alias("first"),
     )
     rows = linked.union(alone)
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """The documents without all but one of each class, with all their columns. Rows
-    that share id and words with the one that stays go too, unless they have no words;
-    of such rows with different texts the one with the smallest hash stays."""
-    blank = F.when(F.col("n") == 0, F.col("hash")).alias("blank")
-    kept = join(docs, similarity, size).filter("kept")
-    kept = kept.groupBy("doc_id", "key", blank).agg(F.min("hash").alias("hash"))
+    """The documents without all but one of each class, with all their columns: the one
+    with the smallest id, among those the one whose text has the smallest hash, among rows
+    of the same id and text any one. Documents without words all stay."""
+    kept = join(docs, similarity, size).filter("kept AND hash = first")
     # a struct, as null ids equal each other in it, and as one key it serves the
     # join and the choice behind it with the same shuffle
     kept = kept.select(
-        F.struct("doc_id", "hash").alias("own_row"), F.col("blank").isNotNull().alias("own_blank")
-    )
+        F.struct("doc_id", "hash").alias("own_row"), (F.col("n") == 0).alias("own_blank")
+    ).distinct()
+    own, nth = fresh("__row", docs.columns), fresh("__nth", docs.columns)
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
-    keyed = docs.withColumn("__row", row)
-    found = keyed.join(kept, keyed["__row"] == kept["own_row"]).select(
+    keyed = docs.withColumn(own, row)
+    found = keyed.join(kept, keyed[own] == kept["own_row"]).select(
         *[keyed[c] for c in keyed.columns],
-        F.when(kept["own_blank"], F.monotonically_increasing_id()).otherwise(-1).alias("__nth"),
+        F.when(kept["own_blank"], F.monotonically_increasing_id()).otherwise(-1).alias(nth),
     )
-    return found.dropDuplicates(["__row", "__nth"]).drop("__row", "__nth")
+    return found.dropDuplicates([own, nth]).drop(own, nth)

@@ -36,7 +36,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents")).drop("key", "hash", "n")
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("key", "hash", "n", "first")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

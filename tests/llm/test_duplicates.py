@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ordermart.llm import embedding_dedup, ngram_join, suffix_dedup
 from ordermart.llm.components import components
@@ -270,6 +272,33 @@ def test_one_of_each_class_stays(docs):
     assert sorted([(r.doc_id, r.text) for r in found.collect()], key=repr) == sorted(want, key=repr)
 
 
+def test_near_copies_that_share_an_id_leave_one(docs):
+    """Near copies under one id, without any, and repeated rows: one of each class."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in (0, 30, 59)]
+    other = " ".join(f"v{i}" for i in range(40))
+    for ids in ((7, 7, 7), (None, None, None), (None, 3, 3)):
+        given = [*zip(ids, near), (ids[0], other), (ids[0], other), (9, "short text")]
+        frame = docs(given).withColumn("__row", F.lit("kept")).withColumn("__nth", F.lit(5))
+        got = ngram_join.keep_first(frame)
+        assert got.columns == frame.columns
+        assert sorted(r.text == other for r in got.collect()) == [False, False, True]
+
+
+def test_texts_without_ids_do_not_multiply(spark, docs):
+    """600 rows without id in 300 classes: each text meets its own node only."""
+    rows = []
+    for i in range(300):
+        words = [f"a{i}x{j}" for j in range(50)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words[:-1], "end"]))]
+    frame = docs(rows)
+    signed = ngram_join.signatures(frame, 5, Bands.choose(0.8, 0.999))
+    members = signed.withColumn("node", F.monotonically_increasing_id()).select("doc_id", "hash", "node")
+    assert ngram_join.node_texts(frame, members).count() == 600
+    found = ngram_join.join(frame).collect()
+    assert len(found) == 600 and {r.n_links for r in found} == {1}
+
+
 def test_choice_shuffles_documents_once_and_without_python(docs):
     found = ngram_join.keep_first(docs([(None, "a b"), (None, "A  b"), (None, ""), (None, "")]))
     assert sorted(r.text for r in found.collect())[:2] == ["", ""]
@@ -371,6 +400,28 @@ def test_filters_find_nearly_all_links():
     assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))[near].mean() >= 0.999
 
 
+@pytest.mark.parametrize("size", [2, 3, 8, 16, 64, 384])
+@pytest.mark.parametrize("vectors", [10, 2000, 10**7])
+def test_recall_is_the_same_for_every_length_and_number(size, vectors):
+    """On pairs of cosine 0.98 that the scheme wasn't chosen on."""
+    words, filters = embedding_dedup.scheme(size, vectors, 32, 0.98)
+    rng = np.random.default_rng([9, size])
+    a, b = rng.standard_normal((2, 3000, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    code = embedding_dedup.code(size, words)
+    x, y = (code.decode(v, filters)[0] for v in (a, 0.98 * a + math.sqrt(1 - 0.98**2) * b))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)]) >= 0.998
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_short_vectors(spark, size):
+    rng = np.random.default_rng(size)
+    vectors = rng.standard_normal((150, size)).astype(np.float32)
+    check_vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(vectors)])
+
+
 def test_decoding_is_exact():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((5, 12))
