@@ -96,6 +96,12 @@ def test_columns_named_like_the_report(spark):
     assert rows(quality_profile(df)) == [(2, 1, 1, 1, "a.b", 1), (2, 1, 1, 1, "rows", 0)]
 
 
+def test_filled_cells_tell_null_from_nan(spark):
+    df = spark.sql("SELECT * FROM VALUES (1.0D, 'a'), (double('NaN'), NULL), (NULL, NULL) AS v(x, t)")
+    assert rows(quality.filled_cells(df)) == [("t", 2, 0), ("x", 1, 1)]
+    assert rows(quality.filled_cells(df.limit(0))) == [("t", 0, 0), ("x", 0, 0)]
+
+
 def test_preview_is_ordered(spark):
     df = spark.createDataFrame([(i, -i) for i in range(50)], "k int, v int").repartition(7)
     assert [r.k for r in preview(df, ["k"], 3).collect()] == [0, 1, 2]
