@@ -6,12 +6,14 @@ from hypothesis import settings as examples
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ordermart.operators.lookup import JoinSizes
 from ordermart.operators.quality import distinct_rows
 from ordermart.plans.dimensions import order_reviews_dim
 from ordermart.plans.fact import join_fanout, order_fact, order_fact_conformed
 
-SPLIT = JoinSizes(hot_rows=2, broadcast_bytes=0)
+NO_BROADCAST = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+}
 ALL = ["o1", "no_item", "no_payment", "no_review", "bad_seller", "bad_zip", "bad_customer"]
 
 
@@ -33,11 +35,12 @@ def ids(df):
     return sorted(r.order_id for r in df.select("order_id").collect())
 
 
-@pytest.mark.parametrize("sizes", [JoinSizes(), SPLIT])
-def test_only_complete_orders(make_raw, sizes):
+@pytest.mark.parametrize("options", [{}, NO_BROADCAST])
+def test_only_complete_orders(make_raw, settings, options):
     raw = incomplete(make_raw)
-    assert ids(order_fact(raw, sizes=sizes)) == ["o1"]
-    assert rows(join_fanout(raw, sizes)) == [("o1", 1)]
+    with settings(**options):
+        assert ids(order_fact(raw)) == ["o1"]
+        assert rows(join_fanout(raw)) == [("o1", 1)]
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
@@ -150,17 +153,19 @@ def test_row_order_and_partitions_do_not_matter(spark, partitions):
     assert rows(order_fact(shuffled)) == rows(order_fact(raw))
 
 
-@pytest.mark.parametrize("sizes", [JoinSizes(), JoinSizes(hot_rows=100, broadcast_bytes=0)])
-def test_same_as_the_long_way(spark, sizes):
+@pytest.mark.parametrize("options", [{}, NO_BROADCAST])
+def test_same_as_the_long_way(spark, settings, options):
     from checks.standins import raw_tables
 
     raw = raw_tables(spark, "/root/testdata/sf0.001")
-    fact = order_fact(raw, sizes=sizes)
-    assert rows(fact) == rows(order_fact_after_joins(raw))
-    combinations = all_combinations(raw)
-    assert set(rows(fact)) <= set(rows(combinations.drop("order_item_id")))
-    counts = rows(combinations.groupBy("order_id").count())
-    assert rows(join_fanout({n: distinct_rows(df) for n, df in raw.items()}, sizes)) == counts
+    with settings(**options):
+        fact = order_fact(raw)
+        assert rows(fact) == rows(order_fact_after_joins(raw))
+        combinations = all_combinations(raw)
+        assert set(rows(fact)) <= set(rows(combinations.drop("order_item_id")))
+        counts = rows(combinations.groupBy("order_id").count())
+        distinct = {n: distinct_rows(df) for n, df in raw.items()}
+        assert rows(join_fanout(distinct)) == counts
 
 
 KEYS = st.sampled_from(["o1", "o2", None])
@@ -196,4 +201,4 @@ def test_any_data_gives_what_the_long_way_gives(
         order_payments=[payment(o, n) for o, n in payments],
         order_reviews=[review(r, o) for r, o in reviews],
     )
-    assert rows(order_fact(raw, sizes=SPLIT)) == rows(order_fact_after_joins(raw))
+    assert rows(order_fact(raw)) == rows(order_fact_after_joins(raw))
