@@ -1,4 +1,3 @@
-import pytest
 from conftest import item, order, payment, review, rows
 
 from ordermart.operators.constraints import conform, storage_schema
