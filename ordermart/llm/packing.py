@@ -23,6 +23,8 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.letters, self.last = letters_only(self.tokenizer)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -85,15 +88,32 @@ class WordIds:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
-        new = self.unmet(set().union(*words))
-        split = [(w, *stem_and_signs(w)) for w in new]
-        parts = self.unmet({p for _, *two in split for p in two})
+        found = [list(map(self.known.get, ws)) for ws in words]
+        missing = set()
+        for ws, ids in zip(words, found):
+            missing.update(compress(ws, map(not_, ids)))
+        whole, apart = [], []
+        for w in self.unmet(missing):
+            stem, signs = stem_and_signs(w)
+            if stem == w:
+                whole.append(w)
+            else:
+                apart.append((w, stem, signs))
+        parts = whole + self.unmet({p for _, *two in apart for p in two}.difference(whole))
+        plain = [p for p in parts if p.isalpha() and latin(p)] if self.letters else []
+        for at in range(0, len(plain), CALL_WORDS):
+            self.learn_letters(plain[at : at + CALL_WORDS])
+        if plain:
+            parts = self.unmet(set(parts))
         for at in range(0, len(parts), CALL_WORDS):
             self.learn(parts[at : at + CALL_WORDS])
-        for w, stem, signs in split:
-            self.known[w] = self.known[stem] + self.known[signs] if signs else self.known[stem]
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
+        known = self.known
+        for w, stem, signs in apart:
+            known[w] = known[stem] + known[signs] if signs else known[stem]
+        return [
+            b"".join([known[w] if i is None else i for w, i in zip(ws, ids)])
+            for ws, ids in zip(words, found)
+        ]
 
     def unmet(self, words: set[str]) -> list[str]:
         """The words without ids; those of the older half of the cache are kept on."""
@@ -119,6 +139,20 @@ class WordIds:
         for w in set(words).difference(together):
             self.known[w] = np.array(self.encode(w), dtype="<u4").tobytes()
 
+    def learn_letters(self, words: list[str]) -> None:
+        """Encode words of small Latin letters in one call. Normalizing leaves them as they
+        are and each is one piece for the model, whose last id holds the end of a word."""
+        text = " ".join(words)
+        found = self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype="<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words):  # a letter that the vocabulary lacks
+            return
+        data, start = ids.tobytes(), 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.known[w] = data[start:end]
+            start = end
+
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -126,15 +160,45 @@ class WordIds:
 def stem_and_signs(word: str) -> tuple[str, str]:
     """A word as its letters and the signs behind them, which the tokenizer encodes one
     after the other, so that a word is learnt once whatever follows it. Case, which it
-    drops, is dropped here where all letters are ASCII, as others may compose with what
+    drops, is dropped here where all letters are Latin ones, as others may compose with what
     follows before they lose their case, and none may make up a special string."""
-    stem = word.rstrip(SIGNS)
-    if not stem or not stem[-1].lower().isalpha():
-        stem = word
-    plain = stem.isascii() and "<" not in stem
+    stem = word
+    if not word.isalpha():
+        stem = word.rstrip(SIGNS)
+        if not stem or not stem[-1].lower().isalpha():
+            stem = word
+    plain = "<" not in stem and latin(stem)
     return stem.lower() if plain else stem, word[len(stem) :]
 
 
+def latin(word: str) -> bool:
+    """Are all letters ASCII or Latin-1? None of these composes with another, and each
+    lower-cases to one letter."""
+    return word.isascii() or max(word) <= "\xff"
+
+
+def letters_only(tokenizer) -> tuple[object | None, np.ndarray]:
+    """A tokenizer on the same model for words of small letters between spaces, which takes
+    no normalizer and no pattern, and which ids end a word; None where the model marks no
+    ends."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None, np.zeros(0, dtype=bool)
+    letters = Tokenizer(tokenizer.model)
+    letters.pre_tokenizer = pre_tokenizers.Sequence(
+        [
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ]
+    )
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return letters, last
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """One tokenizer for a worker's life."""
@@ -290,8 +354,9 @@ def pack(
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 for doc, (ids, mask) in zip(part.column(id_col).to_pylist(), to_ids(part)):
-                    loss = np.zeros(len(ids) + 1, dtype=np.int64)
-                    np.cumsum(np.ones(len(ids)) if mask is None else mask, out=loss[1:])
+                    loss = np.arange(len(ids) + 1, dtype=np.int64)
+                    if mask is not None:
+                        np.cumsum(mask, out=loss[1:])
                     packer.add(Piece(doc, 0, ids, loss, len(ids)))
                 if len(packer.pool) >= POOL:
                     packer.run(last=False)

@@ -68,6 +68,22 @@ def test_bpe_query(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == hashes(tokenizer, rows[r.doc_id])
 
 
+def test_words_of_letters_take_no_normalizer(monkeypatch):
+    """Words of Latin letters, whatever their case and the signs behind them, are learnt
+    without the tokenizer's normalizer and pattern, with its ids."""
+    tokenizer, ids = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    text = "Éanèier ÀÞÿß straße, STRASSE. ªº µm queBEß!! a Ø the\nThe THE."
+    encode, seen = ids.encode, []
+    monkeypatch.setattr(ids, "encode", lambda t: seen.append(t) or encode(t))
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids([text])[0], "<u4").tolist() == want
+    assert not any(c.isalpha() for t in seen for c in t.replace(packing.SEPARATOR, ""))
+    every = [chr(c) + end for c in range(1, 0x250) for end in ("", "a", "\u0301", "!", "\u0301!")]
+    for word, found in zip(every, ids(every)):
+        want = tokenizer.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(found, "<u4").tolist() == want
+
+
 def test_word_ids_are_the_tokenizers():
     tokenizer, ids = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
     given = list(strange(4000))
