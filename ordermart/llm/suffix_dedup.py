@@ -32,7 +32,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ordermart.llm.common import id_and_text, map_slices, saved, texts
+from ordermart.llm.common import SLICE_ROWS, id_and_text, map_slices, saved, texts
 from ordermart.llm.embedding_dedup import runs_by_key
 from ordermart.llm.shingles import mixed
 
@@ -626,18 +625,29 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     )
 
 
-def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """The rows, with all their columns, whose text lacks what remove_repeats removes.
-    Letters that a cut leaves in part are dropped; null texts stay null."""
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
+def cut_texts(text: pa.Array, spans: pa.Array, length: int) -> pa.Array:
+    """Texts without their spans. Of a batch, which may have 10,000 rows, only a slice is
+    held as Python objects at a time."""
 
     def one(text: str | None, spans: list | None) -> str | None:
         if text is None or spans is None:
             return text
-        return without(text.encode(), covered(list(spans), length)).decode("utf-8", "ignore")
+        return without(text.encode(), covered(spans, length)).decode("utf-8", "ignore")
+
+    parts = [pa.array([], text.type)]
+    for at in range(0, len(text), SLICE_ROWS):
+        some = (c.slice(at, SLICE_ROWS).to_pylist() for c in (text, spans))
+        parts.append(pa.array([one(t, s) for t, s in zip(*some)], text.type))
+    return pa.concat_arrays(parts)
+
+
+def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The rows, with all their columns, whose text lacks what remove_repeats removes.
+    Letters that a cut leaves in part are dropped; null texts stay null."""
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return cut_texts(text, spans, length)
 
     spans = saved(spans_by_text(hashed(docs), length))
     keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))

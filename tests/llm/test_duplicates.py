@@ -1,9 +1,11 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,24 @@ def test_one_passage_in_most_texts_is_spread_over_ranges(docs, monkeypatch, toge
     assert len(set(seen[0])) > len(set(suffixes))  # one suffix's group lies in several ranges
 
 
+def test_a_batch_is_cut_by_slices():
+    """10,000 rows with many spans: Python holds those of a slice, not of the batch."""
+    n, length = 10_000, 200
+    spans = [{"low": 500 * i, "high": 500 * i} for i in range(8)]
+    text = pa.array(["x" * 200 + "é" * 1900] * (n - 2) + [None, ""])
+    places = pa.array([spans] * (n - 3) + [None, spans, None])
+    tracemalloc.start()
+    found = suffix_dedup.cut_texts(text, places, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
+    data = text[0].as_py().encode()
+    left = b"".join(data[a:b] for a, b in zip(range(200, 4000, 500), range(500, 4001, 500)))
+    want = left.decode("utf-8", "ignore")
+    assert found.to_pylist() == [want] * (n - 3) + [text[0].as_py(), None, ""]
+    assert len(suffix_dedup.cut_texts(text[:0], places[:0], length)) == 0
+
+
 def test_cut_repeats_keeps_columns(docs):
     shared = "é shared passage " * 20
     given = [(1, "one " + shared), (2, shared + " two"), (3, None), (4, "alone")]
