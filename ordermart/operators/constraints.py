@@ -79,20 +79,21 @@ def key_text(columns) -> Column:
     return F.concat_ws("|", *[F.coalesce(v, F.lit(r"\N")) for v in escaped])
 
 
-def _rejects(df: DataFrame, table: Table, tests: list[tuple[str, Column]]) -> DataFrame:
+def _rejects(df: DataFrame, table: Table, tests: list[tuple[str, str, Column]]) -> DataFrame:
     """One row per failed cell, out of a single scan. Rows without a failure,
     mostly all, leave at a plain filter."""
     cells = [
         F.when(
             failed,
             F.struct(
+                F.lit(rule).alias("rule"),
                 F.lit(column).alias("column"),
                 named(column).cast("string").alias("value"),
             ),
         )
-        for column, failed in tests
+        for rule, column, failed in tests
     ]
-    any_failed = reduce(Column.__or__, [failed for _, failed in tests], F.lit(False))
+    any_failed = reduce(Column.__or__, [failed for *_, failed in tests], F.lit(False))
     return df.filter(any_failed).select(
         F.lit(table.name).alias("table"),
         key_text(table.key).alias("key"),
@@ -100,29 +101,44 @@ def _rejects(df: DataFrame, table: Table, tests: list[tuple[str, Column]]) -> Da
     )
 
 
-def type_rejects(df: DataFrame, table: Table) -> DataFrame:
-    """Cells that hold a value which the target type cannot."""
-    tests = [(table.key[0], F.lit(False))]
-    tests += [
-        (
-            f.name,
-            named(f.name).isNotNull()
-            & _converted(f, df.schema[f.name].dataType).isNull(),
-        )
+def _lost(field: T.StructField, source: T.DataType) -> Column:
+    """Is a cell that isn't null by `_converted`? A number that fits a decimal is not made
+    one for that."""
+    target = storage_type(field.dataType)
+    if isinstance(target, T.DecimalType) and isinstance(source, T.NumericType):
+        return ~_in_range(named(field.name), target)
+    return _converted(field, source).isNull()
+
+
+def _type_tests(df: DataFrame, table: Table) -> list[tuple[str, str, Column]]:
+    return [("type", table.key[0], F.lit(False))] + [
+        ("type", f.name, named(f.name).isNotNull() & _lost(f, df.schema[f.name].dataType))
         for f in table.columns
         if df.schema[f.name].dataType != storage_type(f.dataType)
     ]
-    return _rejects(df, table, tests)
 
 
-def length_rejects(df: DataFrame, table: Table) -> DataFrame:
-    """Text longer than its varchar or char column."""
-    tests = [
-        (f.name, F.char_length(named(f.name)) > F.lit(f.dataType.length))
+def _length_tests(table: Table) -> list[tuple[str, str, Column]]:
+    return [
+        ("length", f.name, F.char_length(named(f.name)) > F.lit(f.dataType.length))
         for f in table.columns
         if isinstance(f.dataType, (T.VarcharType, T.CharType))
     ]
-    return _rejects(df, table, tests)
+
+
+def type_rejects(df: DataFrame, table: Table) -> DataFrame:
+    """Cells that hold a value which the target type cannot."""
+    return _rejects(df, table, _type_tests(df, table)).drop("rule")
+
+
+def length_rejects(df: DataFrame, table: Table) -> DataFrame:
+    """Text longer than its varchar or char column."""
+    return _rejects(df, table, _length_tests(table)).drop("rule")
+
+
+def value_rejects(df: DataFrame, table: Table) -> DataFrame:
+    """Both in one scan, with the rule, `type` or `length`."""
+    return _rejects(df, table, _type_tests(df, table) + _length_tests(table))
 
 
 def pk_violations(df: DataFrame, table: Table) -> DataFrame:

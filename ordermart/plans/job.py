@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from ordermart.operators.constraints import (
     conform,
     fk_violations,
-    length_rejects,
     pk_violations,
-    type_rejects,
+    value_rejects,
 )
 from ordermart.operators.quality import quality_report
 from ordermart.plans.dimensions import (
@@ -29,7 +28,13 @@ from ordermart.plans.fact import order_fact, order_fact_conformed
 from ordermart.schemas import TABLES, load_order
 from ordermart.session import remove_folder, shared_dir
 from ordermart.sinks.landing import land_new, landed_tables, mark_loaded
-from ordermart.sinks.warehouse import FACT, content_audit, load_table, replace_rows
+from ordermart.sinks.warehouse import (
+    FACT,
+    content_audit,
+    load_table,
+    replace_rows,
+    worth_thinning,
+)
 from ordermart.sources.files import MALFORMED, scan_rejects
 
 RULES = ("row", "type", "length", "primary key", "foreign key")
@@ -64,18 +69,12 @@ def dimensions(
 
 def value_violations(star: Mapping[str, DataFrame]) -> DataFrame:
     """Cells that do not fit their column: rule, table, column, key, n."""
-    parts = []
-    for name, df in star.items():
-        for rule, rejects in (("type", type_rejects), ("length", length_rejects)):
-            parts.append(
-                rejects(df, TABLES[name]).select(
-                    F.lit(rule).alias("rule"),
-                    "table",
-                    "column",
-                    "key",
-                    F.lit(1).cast("bigint").alias("n"),
-                )
-            )
+    parts = [
+        value_rejects(df, TABLES[name]).select(
+            "rule", "table", "column", "key", F.lit(1).cast("bigint").alias("n")
+        )
+        for name, df in star.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -192,12 +191,18 @@ def run_job(
         raise RuleViolation(f"{broken}; see {work}/violations")
 
     order = load_order()
+    batch = {name: df.count() for name, df in staged.items()}  # by the files' footers
     for name in order:
         if replace and name == FACT:
             replace_rows(warehouse, TABLES[name], star[name], f"{work}/months")
         else:
-            load_table(warehouse, TABLES[name], star[name])
-    audits = [content_audit(star[n], warehouse.read(TABLES[n]), TABLES[n]) for n in order]
+            thin = worth_thinning(warehouse, TABLES[name], batch[name])
+            load_table(warehouse, TABLES[name], star[name], thin)
+    audits = []
+    for name in order:
+        table = TABLES[name]
+        thin = worth_thinning(warehouse, table, batch[name])
+        audits.append(content_audit(star[name], warehouse.read(table), table, thin))
     audit = _written(reduce(DataFrame.unionByName, audits), f"{work}/audit")
     lost = F.col("missing") > 0
     if replace:

@@ -10,7 +10,9 @@ from collections.abc import Mapping
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def object_store_conf(
@@ -77,6 +79,26 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def put_folder(spark: SparkSession, path: str, target: str) -> None:
+    """Move a folder, if it is there, to where another one may be, which goes. File systems
+    with folders only rename it."""
+    remove_folder(spark, target)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(old):
+        return
+    system.mkdirs(new.getParent())
+    if not system.rename(old, new):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A table without rows that the optimizer knows to be empty, so that joins with it cost
+    no scan and no shuffle."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(1).select(*columns).filter(F.lit(False))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed."""
     context = spark.sparkContext

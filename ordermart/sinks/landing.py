@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordermart.schemas import LANDING_JSON_KEY, LANDING_KEYS, MULTILINE, RAW
-from ordermart.session import remove_folder, shared_dir
+from ordermart.session import empty_table, put_folder, remove_folder, shared_dir
 from ordermart.sources.files import (
     CSV_OPTIONS,
     MALFORMED,
@@ -100,7 +100,9 @@ def _read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        return empty_table(spark, schema)
 
 
 def landed_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -138,7 +140,8 @@ def new_files(spark: SparkSession, source: str, root: str) -> DataFrame:
 def land_new(spark: SparkSession, source: str, root: str) -> NewFiles | None:
     """Land the new files below `source` as typed Parquet, or None without any. Each file's
     rows are a partition of its own, so a file that is delivered again takes
-    the place of its last delivery. `mark_loaded` ends the run."""
+    the place of its last delivery, once it is parsed. Rows are written once, with what
+    could not be read of them. `mark_loaded` ends the run."""
     files = _staged(new_files(spark, source, root))
     # The files of one run come to the driver, as they do in any scan of them.
     new = files.select("name", "path", _source_id(F.col("path")).alias(SOURCE)).collect()
@@ -154,12 +157,15 @@ def land_new(spark: SparkSession, source: str, root: str) -> NewFiles | None:
             multiline=name in MULTILINE,
             malformed=MALFORMED,
         )
-        staged = _staged(read.withColumn(SOURCE, _source_id(F.col("_metadata.file_path"))))
-        rejects.append(_rejects_of(staged.drop(SOURCE), name))
-        path = f"{root}/{name}.parquet"
-        for row in mine:
-            remove_folder(spark, f"{path}/{SOURCE}={row[SOURCE]}")
-        staged.drop(MALFORMED).write.mode("append").partitionBy(SOURCE).parquet(path)
+        rows = read.withColumn(SOURCE, _source_id(F.col("_metadata.file_path")))
+        path, work = f"{root}/{name}.parquet", shared_dir(spark)
+        rows.write.partitionBy(SOURCE).parquet(work)
+        ids = [row[SOURCE] for row in mine]
+        for i in ids:
+            put_folder(spark, f"{work}/{SOURCE}={i}", f"{path}/{SOURCE}={i}")
+        remove_folder(spark, work)
+        landed = _read(spark, path, rows.schema).filter(F.col(SOURCE).isin(ids))
+        rejects.append(_rejects_of(landed.drop(SOURCE), name))
     return NewFiles(files, reduce(DataFrame.unionByName, rejects))
 
 

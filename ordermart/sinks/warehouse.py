@@ -15,7 +15,7 @@ from ordermart.functions.columns import named
 from ordermart.operators.constraints import storage_schema
 from ordermart.operators.keyfilter import key_filter, may_hold
 from ordermart.schemas import TABLES, Table
-from ordermart.session import remove_folder
+from ordermart.session import empty_table, remove_folder
 
 #: The one table that grows by time: its folder has a partition per month.
 FACT = "Orders"
@@ -52,7 +52,11 @@ class ParquetWarehouse:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
+
+    def rows(self, table: Table) -> int:
+        """The rows loaded so far, by the files' footers."""
+        return self.read(table).count()
 
     def months(self, table: Table, names: Sequence[str | None]) -> DataFrame:
         """The rows of these months; no other folder is scanned."""
@@ -63,7 +67,7 @@ class ParquetWarehouse:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
         wanted = F.col(MONTH).isin([n for n in names if n is not None])
         if None in names:
             wanted = wanted | F.col(MONTH).isNull()
@@ -132,6 +136,9 @@ class JdbcWarehouse:
         url = options.pop("url")
         return self.spark.read.jdbc(url, table.name, predicates=ranges, properties=options)
 
+    def rows(self, table: Table) -> None:
+        """Not known without a scan."""
+
     def write_options(self, table: Table) -> dict[str, str]:
         # Long text is left to the database's own type for it.
         types = [
@@ -161,24 +168,38 @@ def _by_key(left: DataFrame, right: DataFrame, key: tuple[str, ...], how: str) -
 
 
 def loaded_rows(
-    df: DataFrame, target: DataFrame, key: tuple[str, ...], columns: Sequence[str] | None = None
+    df: DataFrame,
+    target: DataFrame,
+    key: tuple[str, ...],
+    columns: Sequence[str] | None = None,
+    thin: bool = True,
 ) -> DataFrame:
     """Columns (the key's by default) of the target's rows whose key `df` may have: all
     that it has, and few others. A filter over the keys of `df` thins the target in its
-    scan, so that what is shuffled later grows with `df`, not with the target."""
+    scan, so that what is shuffled later grows with `df`, not with the target. Without
+    `thin` all the target's rows, which a target no larger than the batch is better left with."""
     rows = target.select(*[named(c) for c in columns or key])
-    return may_hold(rows, key, key_filter(df, key))
+    return may_hold(rows, key, key_filter(df, key)) if thin else rows
 
 
-def new_rows(df: DataFrame, target: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def new_rows(
+    df: DataFrame, target: DataFrame, key: tuple[str, ...], thin: bool = True
+) -> DataFrame:
     """The rows whose key is not loaded yet: what a repeated load may append.
     Of the target only the key columns are read."""
-    return _by_key(df, loaded_rows(df, target, key), key, "left_anti")
+    return _by_key(df, loaded_rows(df, target, key, thin=thin), key, "left_anti")
+
 
+def worth_thinning(warehouse, table: Table, batch: int) -> bool:
+    """Is the target more than twice a batch of so many rows, or of unknown size? Only then
+    does a filter over the batch's keys spare more than it costs."""
+    rows = warehouse.rows(table)
+    return rows is None or rows > 2 * batch
 
-def load_table(warehouse, table: Table, df: DataFrame) -> None:
+
+def load_table(warehouse, table: Table, df: DataFrame, thin: bool = True) -> None:
     """Append the rows that are new."""
-    warehouse.append(table, new_rows(df, warehouse.read(table), table.key))
+    warehouse.append(table, new_rows(df, warehouse.read(table), table.key, thin))
 
 
 def load_warehouse(warehouse, frames: Mapping[str, DataFrame], order: list[str]) -> None:
@@ -237,56 +258,68 @@ def _counts(w: Column, t: Column) -> list[Column]:
     return [F.coalesce(F.sum(value), zero).alias(name) for name, value in sums.items()]
 
 
-def row_hashes(df: DataFrame, table: Table) -> list[Column]:
-    """Two independent hashes of a row's cells as wide numbers. Which cells are null
-    counts as well, as a hash passes over null."""
+def row_hashes(table: Table) -> list[Column]:
+    """Two independent hashes of a row's cells. Which cells are null counts as well, as a
+    hash passes over null."""
     cells = [named(c) for c in table.columns.names]
     nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in cells])
-    return [
-        F.xxhash64(F.lit(salt), nulls, *cells).cast("decimal(20,0)").alias(f"h{salt}")
-        for salt in (1, 2)
-    ]
+    return [F.xxhash64(F.lit(salt), nulls, *cells) for salt in (1, 2)]
+
+
+def _halves(hashes: list[Column]) -> list[Column]:
+    """Hashes in signed halves, which can be summed as 64 bits. A grouping that sums wider
+    numbers, or compares text, sorts all its rows."""
+    low = [F.shiftright(F.shiftleft(h, 32), 32) for h in hashes]
+    return [*[F.shiftright(h, 32) for h in hashes], *low]
 
 
 def content_digest(df: DataFrame, table: Table) -> DataFrame:
     """Per month (one, null, for a table without): rows and a digest of them as a
     multiset. Digests of disjoint sets of rows add up, whatever the rows' order."""
-    rows = df.select(month_of(table).alias("month"), *row_hashes(df, table))
+    wide = [h.cast("decimal(20,0)").alias(f"h{i}") for i, h in enumerate(row_hashes(table), 1)]
+    rows = df.select(month_of(table).alias("month"), *wide)
     return rows.groupBy("month").agg(
         F.count("*").alias("rows"), F.sum("h1").alias("digest1"), F.sum("h2").alias("digest2")
     )
 
 
-def content_audit(written: DataFrame, target: DataFrame, table: Table) -> DataFrame:
+def content_audit(
+    written: DataFrame, target: DataFrame, table: Table, thin: bool = True
+) -> DataFrame:
     """Per month of the written rows: rows written, rows the target has of their keys,
     rows missing there, rows it has too often, keys with as many rows but other cells
     (`changed`), and whether the digests of both sides are the same.
 
     The target's rows are hashed in their scan, where a filter over the written keys has
     thinned them; one grouping by key nets both sides' counts and hashes. A key that the
-    target has in another month counts for the month it was written under.
+    target has in another month counts for the month it was written under, and of several
+    for the last. Months are days until the keys are netted, as a day is a number.
     """
     keys = [named(k) for k in table.key]
+    none = F.lit(None)
+    first = F.trunc(F.to_date("order_purchase_timestamp"), "MM") if table.name == FACT else none
+    halves = _halves(row_hashes(table))
+    sums = [f"h{i}" for i in range(len(halves))]
 
     def side(df: DataFrame, w: int, t: int) -> DataFrame:
-        month = month_of(table) if w else F.lit(None).cast("string")
-        hashes = row_hashes(df, table)
         return df.select(
-            *keys, month.alias("month"), F.lit(w).alias("w"), F.lit(t).alias("t"),
-            *[(h * (w - t)).cast("decimal(22,0)").alias(f"h{i}") for i, h in enumerate(hashes, 1)],
+            *keys, (first if w else none).cast("date").alias("first"),
+            F.lit(w).alias("w"), F.lit(t).alias("t"),
+            *[(h * (w - t)).alias(name) for name, h in zip(sums, halves)],
         )
 
-    held = loaded_rows(written, target, table.key, table.columns.names)
+    held = loaded_rows(written, target, table.key, table.columns.names, thin)
     per_key = (
         side(written, 1, 0)
         .unionAll(side(held, 0, 1))
         .groupBy(*keys)
-        .agg(*[F.sum(c).alias(c) for c in ("w", "t", "h1", "h2")], F.max("month").alias("month"))
+        .agg(*[F.sum(c).alias(c) for c in ("w", "t", *sums)], F.max("first").alias("first"))
         .filter("w > 0")
+        .withColumn("month", F.date_format("first", "yyyy-MM"))
     )
     w, t = F.col("w"), F.col("t")
-    other = (F.col("h1") != 0) | (F.col("h2") != 0)
-    same = (F.coalesce(F.sum("h1"), F.lit(0)) == 0) & (F.coalesce(F.sum("h2"), F.lit(0)) == 0)
+    other = reduce(Column.__or__, [F.col(h) != 0 for h in sums])
+    same = reduce(Column.__and__, [F.coalesce(F.sum(h), F.lit(0)) == 0 for h in sums])
     return per_key.groupBy("month").agg(
         *_counts(w, t), F.count_if((w == t) & other).alias("changed"), same.alias("same")
     ).select(F.lit(table.name).alias("table"), "*")

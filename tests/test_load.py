@@ -17,6 +17,7 @@ from ordermart.sinks.warehouse import (
     load_table,
     new_rows,
     replace_rows,
+    worth_thinning,
 )
 
 ORDERS = TABLES["Orders"]
@@ -197,3 +198,30 @@ def test_command_line_names_either_target(spark):
     }
     assert (target.batch_size, target.connections) == (7, 3)
     assert target.key_bounds == {"Orders": ["4", "8"], "Sellers": ["m"]}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_audit_sorts_no_rows(spark, tmp_path, make_raw):
+    """Its grouping by key holds numbers only; one with text or wide numbers would sort."""
+    written = stored(spark, tmp_path, orders(make_raw, 1, 2))
+    plan = plan_of(content_audit(written, written, ORDERS))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert content_audit(written, written.unionAll(written), ORDERS).first()["surplus"] == 2
+
+
+def test_only_a_larger_target_is_thinned(spark, tmp_path, make_raw):
+    written = stored(spark, tmp_path, orders(make_raw, 1, 2))
+    warehouse = ParquetWarehouse(spark, str(tmp_path / "w"))
+    first = plan_of(new_rows(written, warehouse.read(ORDERS), ORDERS.key))
+    assert "Join" not in first and "Exchange" not in first  # nothing is loaded yet
+    load_table(warehouse, ORDERS, written)
+    assert not worth_thinning(warehouse, ORDERS, 1) and worth_thinning(warehouse, ORDERS, 0)
+    assert worth_thinning(JdbcWarehouse(spark, {}), ORDERS, 10**9)
+    for batch in (orders(make_raw, 2, 3), orders(make_raw, 4)):
+        thin, whole = (new_rows(batch, warehouse.read(ORDERS), ORDERS.key, t) for t in (True, False))
+        assert rows(thin.select("order_id")) == rows(whole.select("order_id"))
+        a, b = (content_audit(batch, written, ORDERS, t) for t in (True, False))
+        assert rows(a) == rows(b)
