@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import DAY, rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordermart.schemas import RAW
@@ -16,6 +17,7 @@ from ordermart.sources import (
     read_tables,
     table_objects,
 )
+from ordermart.sources.inference import SPELLINGS, as_type, type_counts
 
 REVIEWS = (
     "review_id,order_id,review_score,review_comment_title,review_comment_message,"
@@ -183,3 +185,19 @@ def test_object_store_keys_come_from_the_environment():
 def test_build_session_joins_the_running_one(spark):
     joined = build_session(conf={"spark.sql.adaptive.enabled": "true"})
     assert joined.sparkContext is spark.sparkContext
+
+
+def test_type_counts_hold_each_cell_once(spark):
+    """Columns of odd names and cells against each type's own pattern and cast; the plan has
+    as many patterns for many columns as for one."""
+    odd = ["5", "+5", "5\n", "5 ", "2147483648", "99999999999999999999", "5.", ".5", "1e400", "+", "",
+           "TrUe", "2024-02-29", "2023-02-29", "2024-01-01T10:00:00", "2024-01-01 25:00:00", "x", None]
+    df = spark.createDataFrame([(c, None, c) for c in odd], "a string, `b.c` string, `d``e` string")
+    got = {row["column"]: row.asDict() for row in type_counts(df).collect()}
+    each = df.agg(*[F.count(as_type(F.col("a"), t)).alias(t) for t in SPELLINGS]).first().asDict()
+    for column in ("a", "d`e"):
+        assert got[column] == {"column": column, "cells": len(odd) - 1, **each}
+    assert got["b.c"] == {"column": "b.c", "cells": 0, **dict.fromkeys(SPELLINGS, 0)}
+    assert [r["cells"] for r in type_counts(df.limit(0)).collect()] == [0, 0, 0]
+    plans = [type_counts(d)._jdf.queryExecution().optimizedPlan().toString() for d in (df, df.select("a"))]
+    assert plans[0].count("RLIKE") == plans[1].count("RLIKE")
