@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 
 from ordermart.plans.job import RuleViolation, daily_job, run_job
 from ordermart.schemas import RAW, TABLES
-from ordermart.sinks.landing import land_csv, land_files, landed_rejects, landed_tables, new_files
+from ordermart.sinks.landing import (
+    land_csv,
+    land_files,
+    land_new,
+    landed_rejects,
+    landed_tables,
+    new_files,
+)
 from ordermart.sinks.warehouse import ParquetWarehouse
 from ordermart.sources import read_table, read_tables
 from ordermart.sources.files import MALFORMED, scan_rejects
@@ -133,3 +140,15 @@ def test_midnight_that_a_zone_skips(spark, settings, tmp_path, make_raw):
             return rows(fact) + rows(dim)
 
     assert run("UTC") == run("America/Sao_Paulo") == [(skipped,), (skipped,)]
+
+
+def test_new_rows_are_written_once(spark, tmp_path):
+    """What lands is moved into place with what could not be read of it, in the place of an
+    earlier delivery."""
+    source, landing = tmp_path / "in", str(tmp_path / "landing")
+    source.mkdir()
+    for text, found in ((BROKEN, len(CELLS + ROWS)), (SELLERS + "s1,2000,city,RJ\n", 0)):
+        (source / "sellers.csv").write_text(text)
+        assert land_new(spark, str(source), landing).rejects.count() == found
+        assert MALFORMED in spark.read.parquet(f"{landing}/sellers.parquet").columns
+        assert landed_tables(spark, landing)["sellers"].count() == len(text.splitlines()) - 1
