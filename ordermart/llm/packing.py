@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +37,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: time go.
 CACHE_WORDS = 400_000
 #: Words that are encoded in one call.
-CALL_WORDS = 64
+CALL_WORDS = 256
+#: Bytes of texts whose different words are looked up together; a longer text is a run of
+#: its own.
+RUN_BYTES = 2 << 20
 #: Signs that always part from a letter before them. Fixed value.
 SIGNS = ".,;:!?$&%#"
+#: Words that `latin` and `isalpha` hold for. Fixed value.
+LATIN_WORD = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: A special string of the vocabulary. Fixed value.
 SEPARATOR = "<|startoftext|>"
 #: Examples among which the heuristic chooses.
@@ -68,7 +72,8 @@ class WordIds:
     """A tokenizer that drops white space, applied word by word with a bounded cache.
 
     Spaces and line feeds always separate words for it, so a text's ids are the ids
-    of its words, one after another.
+    of its words, one after another. Texts are split and joined by Arrow, and only the
+    different words of a run of texts are looked up.
     """
 
     def __init__(self, path: str):
@@ -85,15 +90,42 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        return [ids.tobytes() for ids in self.column(pa.array(texts, pa.string()))]
+
+    def column(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """Each text's ids; null is empty."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            most = RUN_BYTES + (ends[at - 1] if at else 0)
+            to = max(at + 1, int(np.searchsorted(ends, most, "right")))
+            yield from self.run(texts.slice(at, to - at))
+            at = to
+
+    def run(self, texts: pa.StringArray) -> list[np.ndarray]:
+        spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        words = pc.split_pattern(spaced.cast(pa.large_string()), " ")
+        different = words.values.dictionary_encode()
+        parts = stems_and_signs(different.dictionary).dictionary_encode()
+        found = self.look_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, ends, data = pa.array(found, pa.large_binary()).take(parts.indices).buffers()
+        # a word's ids are those of its two parts, which lie side by side
+        ids = strings(np.frombuffer(ends, np.int64)[: len(parts) + 1 : 2], data, pa.large_binary())
+        _, ends, data = ids.take(different.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[words.offsets.to_numpy()] // 4
+        ids = np.frombuffer(data, "<u4", at[-1])
+        return [ids[start:end] for start, end in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
-        found = [list(map(self.known.get, ws)) for ws in words]
-        missing = set()
-        for ws, ids in zip(words, found):
-            missing.update(compress(ws, map(not_, ids)))
+        known = self.known
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         whole, apart = [], []
-        for w in self.unmet(missing):
+        for w in self.unmet([words[i] for i in missing]):
             stem, signs = stem_and_signs(w)
             if stem == w:
                 whole.append(w)
@@ -104,26 +136,22 @@ class WordIds:
         for at in range(0, len(plain), CALL_WORDS):
             self.learn_letters(plain[at : at + CALL_WORDS])
         if plain:
-            parts = self.unmet(set(parts))
+            parts = self.unmet(parts)
         for at in range(0, len(parts), CALL_WORDS):
             self.learn(parts[at : at + CALL_WORDS])
-        known = self.known
         for w, stem, signs in apart:
             known[w] = known[stem] + known[signs] if signs else known[stem]
-        return [
-            b"".join([known[w] if i is None else i for w, i in zip(ws, ids)])
-            for ws, ids in zip(words, found)
-        ]
+        for i in missing:
+            found[i] = known[words[i]]
+        return found
 
-    def unmet(self, words: set[str]) -> list[str]:
+    def unmet(self, words: Iterable[str]) -> list[str]:
         """The words without ids; those of the older half of the cache are kept on."""
-        new = []
-        for w in words.difference(self.known):
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.known[w] = ids
+        new = [w for w in words if w not in self.known]
+        if self.older:
+            kept = {w: self.older[w] for w in new if w in self.older}
+            self.known |= kept
+            new = [w for w in new if w not in kept]
         return new
 
     def learn(self, words: list[str]) -> None:
@@ -133,7 +161,7 @@ class WordIds:
         ids = np.array(self.encode(SEPARATOR.join(together)), dtype="<u4")
         ends = np.append(np.flatnonzero(ids == self.separator), len(ids)) * 4
         data, start = ids.tobytes(), 0
-        for w, end in zip(together, ends.tolist(), strict=True):
+        for w, end in zip(together, ends.tolist(), strict=bool(together)):
             self.known[w] = data[start:end]
             start = end + 4
         for w in set(words).difference(together):
@@ -157,6 +185,26 @@ class WordIds:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
+def strings(ends: np.ndarray, data: pa.Buffer, kind: pa.DataType) -> pa.Array:
+    """Strings side by side in a buffer, by where each ends."""
+    ends = pa.py_buffer(np.ascontiguousarray(ends))
+    return pa.Array.from_buffers(kind, len(ends) // 8 - 1, [None, ends, data])
+
+
+def stems_and_signs(words: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Each word as two strings, one after the other: as `stem_and_signs` parts it if it is
+    Latin letters and signs behind them, else itself and an empty string."""
+    stems = pc.utf8_rtrim(words, SIGNS)
+    plain = pc.match_substring_regex(stems, LATIN_WORD)
+    # lower case takes as many bytes for these letters
+    _, ends, data = pc.if_else(plain, pc.utf8_lower(words), words).buffers()
+    sizes = pc.binary_length(pc.if_else(plain, stems, words)).to_numpy()
+    at = np.empty(2 * len(words) + 1, np.int64)
+    at[::2] = np.frombuffer(ends, np.int64, len(words) + 1)
+    at[1::2] = at[:-1:2] + sizes
+    return strings(at, data, pa.large_string())
+
+
 def stem_and_signs(word: str) -> tuple[str, str]:
     """A word as its letters and the signs behind them, which the tokenizer encodes one
     after the other, so that a word is learnt once whatever follows it. Case, which it
@@ -237,7 +285,7 @@ class Packer:
         self.limits, self.caps, self.emit = limits, limits.vector(), emit
         self.sequence = first_id
         self.pool: list[Piece] = []
-        self.sizes = np.zeros((0, 3))
+        self.sizes = self.shares = np.zeros((0, 3))
 
     def add(self, piece: Piece) -> None:
         if len(piece.ids):
@@ -247,6 +295,7 @@ class Packer:
         self.sizes = np.array(
             [(len(p.ids), 1, p.loss_tokens) for p in self.pool], dtype=np.float64
         ).reshape(-1, 3)
+        self.shares = self.sizes / self.caps
 
     def take(self, i: int) -> Piece:
         """Take piece i; the pool's last one goes to its place."""
@@ -254,6 +303,7 @@ class Packer:
         if i < len(self.pool):
             self.pool[i] = last
             self.sizes[i] = self.sizes[len(self.pool)]
+            self.shares[i] = self.shares[len(self.pool)]
         return piece
 
     def put(self, piece: Piece) -> None:
@@ -261,18 +311,21 @@ class Packer:
         self.pool.append(piece)
         if n == len(self.sizes):
             self.sizes = np.vstack([self.sizes, np.zeros((1, 3))])
+            self.shares = np.vstack([self.shares, np.zeros((1, 3))])
         self.sizes[n] = (len(piece.ids), 1, piece.loss_tokens)
+        self.shares[n] = self.sizes[n] / self.caps
 
     def fill(self) -> tuple[list[Piece], np.ndarray]:
         """One sequence's pieces, and what it has left."""
         left, bin_ = self.caps.copy(), []
         while self.pool and left.min() > 0:
-            sizes = self.sizes[: len(self.pool)]
-            dot = (sizes / self.caps) @ (left / self.caps)
+            tokens, _, loss = self.sizes[: len(self.pool)].T
+            dot = self.shares[: len(self.pool)] @ (left / self.caps)
             # the last segment should fill what is left, so it is cut if it is longer
-            whole = (sizes <= left).all(axis=1) & ((left[1] > 1) | (sizes[:, 0] == left[0]))
+            whole = tokens <= left[0] if left[1] > 1 else tokens == left[0]
+            whole &= loss <= left[2]
             if whole.any():
-                piece = self.take(int(np.argmax(np.where(whole, dot, -1.0))))
+                piece = self.take(int(np.where(whole, dot, -1.0).argmax()))
             else:
                 i = int(np.argmax(dot))
                 at = self.pool[i].fitting(int(left[0]), int(left[2]))
@@ -319,13 +372,13 @@ class Packer:
 
 def pack(
     examples: DataFrame,
-    to_ids: Callable[[pa.RecordBatch], list[tuple[np.ndarray, np.ndarray | None]]],
+    to_ids: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray | None]]],
     id_col: str,
     limits: Limits = Limits(),
     rows: int = 64,
 ) -> DataFrame:
     """Pieces of all examples with their places (SCHEMA). `to_ids` gives each row's ids
-    and which of them bear loss (None: all)."""
+    and which of them bear loss (None: all), row after row as they are asked for."""
     if min(limits.tokens, limits.segments, limits.loss) < 1:
         raise ValueError("limits must be at least 1")
     if limits.tokens & (limits.tokens - 1):
@@ -351,13 +404,14 @@ def pack(
 
         packer = Packer(limits, TaskContext.get().partitionId() << 40, emit)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                for doc, (ids, mask) in zip(part.column(id_col).to_pylist(), to_ids(part)):
-                    loss = np.arange(len(ids) + 1, dtype=np.int64)
-                    if mask is not None:
-                        np.cumsum(mask, out=loss[1:])
-                    packer.add(Piece(doc, 0, ids, loss, len(ids)))
+            rows_ids = zip(batch.column(id_col).to_pylist(), to_ids(batch))
+            for n, (doc, (ids, mask)) in enumerate(rows_ids, 1):
+                loss = np.arange(len(ids) + 1, dtype=np.int64)
+                if mask is not None:
+                    np.cumsum(mask, out=loss[1:])
+                packer.add(Piece(doc, 0, ids, loss, len(ids)))
+                if n % rows and n < batch.num_rows:
+                    continue
                 if len(packer.pool) >= POOL:
                     packer.run(last=False)
                 if len(out) >= OUT_ROWS:
@@ -378,10 +432,10 @@ def pack_texts(
 ) -> DataFrame:
     """Documents as examples: the tokenizer's ids and a closing id. All bear loss."""
 
-    def to_ids(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        found = word_ids(path)([t or "" for t in batch.column("text").to_pylist()])
+    def to_ids(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         end = np.array([end_id], dtype="<u4")
-        return [(np.concatenate([np.frombuffer(b, "<u4"), end]), None) for b in found]
+        for ids in word_ids(path).column(batch.column("text")):
+            yield np.concatenate([ids, end]), None
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return pack(rows, to_ids, "doc_id", limits)
@@ -398,14 +452,12 @@ def pack_conversations(
     of a segment of its own; only turns of `loss_role` bear loss. doc_id is the
     conversation's id."""
 
-    def to_ids(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        found = word_ids(path)([t or "" for t in batch.column("text").to_pylist()])
+    def to_ids(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         end = np.array([end_id], dtype="<u4")
-        both = []
-        for b, role in zip(found, batch.column("role").to_pylist()):
-            ids = np.concatenate([np.frombuffer(b, "<u4"), end])
-            both.append((ids, np.full(len(ids), role == loss_role)))
-        return both
+        found = word_ids(path).column(batch.column("text"))
+        for ids, role in zip(found, batch.column("role").to_pylist()):
+            ids = np.concatenate([ids, end])
+            yield ids, np.full(len(ids), role == loss_role)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("doc_id"), "role", "text")
     return pack(rows, to_ids, "doc_id", limits)

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -93,6 +94,30 @@ def test_word_ids_are_the_tokenizers():
         )
 
 
+def test_words_are_looked_up_once_a_run(monkeypatch):
+    """Whatever its case, the signs behind it and the text that holds it, a word of Latin
+    letters is looked up once and kept once."""
+    ids, looked = packing.WordIds(WORDS), []
+    look_up = ids.look_up
+    monkeypatch.setattr(ids, "look_up", lambda ws: looked.extend(ws) or look_up(ws))
+    ids(["Word word, WORD!! \u00c9t\u00e9", "word.\n\u00e9t\u00e9 \u00c9T\u00c9, it's. word"] * 20)
+    assert sorted(looked) == sorted(["word", "\u00e9t\u00e9", "", ",", "!!", ".", "it's."])
+    assert not {"Word", "word,", "WORD!!", "\u00e9t\u00e9,"} & ids.known.keys()
+
+
+@pytest.mark.parametrize("run_bytes", [1, 50, 1 << 20])
+def test_word_ids_of_columns_in_runs(monkeypatch, run_bytes):
+    """Runs of one text and of many, nulls, empty texts and a slice of a column."""
+    monkeypatch.setattr(packing, "RUN_BYTES", run_bytes)
+    tokenizer, ids = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    given = [None, "", *strange(60), None, "a " * 99, "", " \n ", "Word.\n\nWORD", None]
+    for texts in (given, given[:1], ["", ""], []):
+        column = pa.array(["cut off", *texts, "cut off"], pa.string()).slice(1, len(texts))
+        found = list(ids.column(column))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [f.tolist() for f in found] == want
+
+
 def check_packing(found, given, limits=Limits()):
     """Every id in one piece, pieces as told, sequences gapless and within the limits."""
     tokenizer = Tokenizer.from_file(WORDS)
